@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import sharding
+from millrace.llm import licenses, sharding
 from millrace.llm.common import table
 
 
@@ -14,5 +14,32 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "home_shard")
 
 
-QUERIES = {f.__name__: f for f in (op5_sharding,)}
-ORACLES: dict[str, str] = {}
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.templates(spark))
+
+
+def _values(rows: list[tuple]) -> str:
+    quote = lambda x: str(x) if isinstance(x, (int, float)) else "'" + x.replace("'", "''") + "'"
+    return ", ".join("(" + ", ".join(map(quote, r)) + ")" for r in rows)
+
+
+_NORMAL = "list_filter(string_split_regex(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '')"
+_BIGRAMS = "list_distinct(CASE WHEN len({0}) > 1 THEN list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1]) ELSE {0} END)"
+_OP4 = f"""
+WITH t0(template_id, license, txt) AS (VALUES {_values([(i, a, b) for i, (a, b) in enumerate(licenses.TEMPLATES)])}),
+t1 AS (SELECT template_id, license, {_NORMAL.format("txt")} AS w FROM t0),
+t AS (SELECT template_id, license, {_BIGRAMS.format("w")} AS tb FROM t1),
+u0 AS (SELECT doc_id, text AS ut, -1 AS unit FROM documents WHERE contains(text, chr(10))
+       UNION ALL SELECT doc_id, unnest(string_split(text, chr(10))), generate_subscripts(string_split(text, chr(10)), 1) - 1 FROM documents WHERE text IS NOT NULL),
+u1 AS (SELECT doc_id, unit, {_NORMAL.format("ut")} AS w FROM u0),
+u AS (SELECT doc_id, unit, {_BIGRAMS.format("w")} AS ub FROM u1 WHERE len(w) > 0),
+s0 AS (SELECT doc_id, unit, template_id, license, 2 * len(list_intersect(ub, tb)) / (len(ub) + len(tb)) AS dice FROM u, t
+       WHERE 5 * len(ub) >= 3 * len(tb) AND 5 * len(tb) >= 3 * len(ub)),
+s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, template_id, unit) AS r, dense_rank() OVER (PARTITION BY doc_id ORDER BY unit) AS du FROM s0 WHERE dice >= 0.75),
+b AS (SELECT doc_id, max(du) AS n_units FROM s GROUP BY doc_id)
+SELECT d.doc_id, s.license, s.template_id::INT AS template_id, s.unit::INT AS unit, s.dice, coalesce(b.n_units, 0)::BIGINT AS n_units
+FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id AND s.r = 1 LEFT JOIN b ON b.doc_id = d.doc_id
+"""
+
+QUERIES = {f.__name__: f for f in (op4_licenses, op5_sharding)}
+ORACLES: dict[str, str] = {"op4_licenses": _OP4}
