@@ -12,7 +12,9 @@ the whole document counts as unit -1 and only if it has several lines; rows of o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Licence texts and notices.
@@ -50,6 +52,20 @@ def bigrams(w: Column) -> Column:
     return F.array_distinct(F.when(F.size(w) > 1, pairs).otherwise(w))
 
 
+def anchors(sets: list[list[str]], ratio: float) -> list[str]:
+    """Words of which every unit that reaches the threshold with some template has at least one.
+
+    Such a unit holds at least ratio * |B| of the template's bigrams, so it misses too few to miss all of any |B| - ceil(ratio * |B|) + 1
+    of them. Those with the longest words are taken, as such words are rare, and of each the longer word.
+    """
+    out = set()
+    for grams in sets:
+        pairs = sorted((-max(map(len, g.split(" "))), g) for g in grams)
+        for _, g in pairs[: len(grams) - math.ceil(ratio * len(grams) - 1e-9) + 1]:
+            out.add(max(g.split(" "), key=lambda w: (len(w), w)))
+    return sorted(out)
+
+
 def scan(docs: DataFrame, known: DataFrame, min_dice: float = 0.75, max_templates: int = 10_000) -> DataFrame:
     """One row per document: doc_id, license, template_id, unit, dice (null where none reaches min_dice), n_units matched.
 
@@ -58,19 +74,21 @@ def scan(docs: DataFrame, known: DataFrame, min_dice: float = 0.75, max_template
     if known.limit(max_templates + 1).count() > max_templates:
         raise ValueError("too many templates to broadcast")
     t = known.select("template_id", "license", bigrams(normal_words(F.col("text"))).alias("tb")).withColumn("nb", F.size("tb")).where("nb > 0").persist()
-    span = t.agg(F.min("nb").alias("lo"), F.max("nb").alias("hi"), F.flatten(F.collect_set("tb")).alias("all")).first()
-    if not span["all"]:
+    rows = t.select("tb", "nb").collect()  # at most max_templates
+    if not rows:
         return docs.select("doc_id", *(F.lit(None).cast(k).alias(c) for c, k in (("license", "string"), ("template_id", "int"), ("unit", "int"), ("dice", "double"))), F.lit(0).cast("long").alias("n_units"))
     ratio = min_dice / (2 - min_dice)
-    first_words = sorted({g.split(" ")[0] for g in span["all"]})
+    lo, hi = min(r["nb"] for r in rows), max(r["nb"] for r in rows)
+    known_words = F.array(*map(F.lit, anchors([r["tb"] for r in rows], ratio)))
+    split = lambda c: F.split(F.lower(c), "[^a-z0-9]+", -1)
     lines = F.split("text", "\n", -1)
     parts = F.when(F.size(lines) > 1, F.concat(F.array("text"), lines)).otherwise(F.array(F.lit(None).cast("string"), F.col("text")))
-    units = docs.where("text is not null").select("doc_id", F.posexplode(parts).alias("at", "unit_text"))
-    # Cheapest first: a unit of n bigrams has more than n characters.
-    units = units.where(F.length("unit_text") >= int(span["lo"] * ratio) + 1)
-    units = units.withColumn("w", normal_words(F.col("unit_text"))).where((F.size("w") >= span["lo"] * ratio) & F.arrays_overlap("w", F.array(*map(F.lit, first_words))))
-    units = units.select("doc_id", F.xxhash64("unit_text").alias("uh"), (F.col("at") - 1).alias("unit"), bigrams(F.col("w")).alias("b")).withColumn("na", F.size("b")).where((F.col("na") >= span["lo"] * ratio) & (F.col("na") <= span["hi"] / ratio))
-    units = units.where(F.arrays_overlap("b", F.array(*map(F.lit, sorted(span["all"])))))
+    # Whole documents without an anchor word go first, then units without one: only the rest is cut into bigrams.
+    near = docs.where("text is not null").where(F.arrays_overlap(split(F.col("text")), known_words))
+    units = near.select("doc_id", F.posexplode(parts).alias("at", "unit_text")).where(F.length("unit_text") >= int(lo * ratio) + 1)
+    units = units.where(F.arrays_overlap(split(F.col("unit_text")), known_words))
+    units = units.select("doc_id", F.xxhash64("unit_text").alias("uh"), (F.col("at") - 1).alias("unit"), bigrams(normal_words(F.col("unit_text"))).alias("b"))
+    units = units.withColumn("na", F.size("b")).where((F.col("na") >= lo * ratio) & (F.col("na") <= hi / ratio))
     grams = t.select("template_id", "license", "nb", F.explode("tb").alias("g"))
     hits = units.select("doc_id", "uh", "unit", "na", F.explode("b").alias("g")).join(F.broadcast(grams), "g").where((F.col("na") >= F.col("nb") * ratio) & (F.col("nb") >= F.col("na") * ratio))
     scored = hits.groupBy("doc_id", "uh", "unit", "template_id", "license", "na", "nb").agg(F.countDistinct("g").alias("c")).withColumn("dice", 2 * F.col("c") / (F.col("na") + F.col("nb"))).where(F.col("dice") >= min_dice)
