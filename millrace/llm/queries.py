@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import licenses, sharding
+from millrace.llm import decontam, feistel, licenses, lines, mtree, pieces, quality, sharding, suffixes
 from millrace.llm.common import table
 
 
@@ -14,6 +14,24 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "home_shard")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(table(spark, sf_dir, "embeddings"), k=20, every=20, scale=64)
+
+
+_OP3 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"), licenses.templates(spark))
 
@@ -41,5 +59,27 @@ SELECT d.doc_id, s.license, s.template_id::INT AS template_id, s.unit::INT AS un
 FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id AND s.r = 1 LEFT JOIN b ON b.doc_id = d.doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op4_licenses, op5_sharding)}
-ORACLES: dict[str, str] = {"op4_licenses": _OP4}
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(table(spark, sf_dir, "documents"))
+
+
+def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feistel.materialise(table(spark, sf_dir, "documents"), key="epoch-0", seq_len=2048, per_shard=4096)
+
+
+def op8_pieces(spark: SparkSession, sf_dir: str, model: str = "/opt/tokenizers/piece_bpe_32k.model") -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), pieces.load(model), seed=1)
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(table(spark, sf_dir, "documents"), size=400)
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = quality.classify(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", "source", "lang", "p_low", "p_toxic", "low_rate", "toxic_rate", "keep")
+
+
+QUERIES = {f.__name__: f for f in (op2_decontamination, op3_topk, op4_licenses, op5_sharding, op6_line_dedup, op7_training_order, op8_pieces, op9_suffix_dedup, op10_quality)}
+ORACLES: dict[str, str] = {"op3_topk": _OP3, "op4_licenses": _OP4}

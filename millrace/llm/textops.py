@@ -56,7 +56,7 @@ def runs(column: pa.Array, chunk: int = CHUNK) -> Iterator[tuple[int, np.ndarray
     row = 0
     while row < n:
         end = max(row + 1, int(np.searchsorted(at, at[row] + chunk, "right")) - 1)
-        end = min(end, n)
+        end = min(end, n, row + 32768)
         yield row, data[at[row] : at[end]], at[row : end + 1] - at[row]
         row = end
 
@@ -76,12 +76,12 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
         return mix(raw ^ ((end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
 
 
-def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """start, end and row of every word; rows are data[at[i]:at[i+1]]."""
+def words(data: np.ndarray, at: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """start, end and row of every word; rows are data[at[i]:at[i+1]]; gap tells the bytes between words."""
     if not len(data):
         z = np.zeros(0, np.int64)
         return z, z, z
-    space = SPACE[data]
+    space = gap[data]
     first = np.empty(len(data), bool)
     first[0] = True
     np.copyto(first[1:], space[:-1])
@@ -96,9 +96,9 @@ def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return start, end, np.searchsorted(at, start, "right") - 1
 
 
-def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, at: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, row, start and end of each word, with A-Z lowered."""
-    start, end, row = words(data, at)
+    start, end, row = words(data, at, gap)
     return span_hash(prefix_hash(LOWER[data]), start, end), row, start, end
 
 
