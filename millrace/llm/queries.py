@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontam, feistel, licenses, lines, mtree, pieces, quality, sharding, suffixes
+from millrace.llm import decontam, feistel, jaccard, licenses, lines, mtree, pieces, quality, sharding, suffixes
 from millrace.llm.common import table
 
 
@@ -14,6 +14,22 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "home_shard")
 
 
+def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.report(table(spark, sf_dir, "documents"), k=5, percent=75)
+
+
+_OP1 = """
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+      ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w),
+u AS (SELECT doc_id, unnest(s) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM u a JOIN u b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE 100 * c >= 75 * (len(x.s) + len(y.s) - c)),
+r(doc_id, m) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.m)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(r.m) AS component_id FROM s JOIN r USING (doc_id) GROUP BY 1, 2
+"""
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
@@ -81,5 +97,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "lang", "p_low", "p_toxic", "low_rate", "toxic_rate", "keep")
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op3_topk, op4_licenses, op5_sharding, op6_line_dedup, op7_training_order, op8_pieces, op9_suffix_dedup, op10_quality)}
-ORACLES: dict[str, str] = {"op3_topk": _OP3, "op4_licenses": _OP4}
+QUERIES = {f.__name__: f for f in (op1_jaccard, op2_decontamination, op3_topk, op4_licenses, op5_sharding, op6_line_dedup, op7_training_order, op8_pieces, op9_suffix_dedup, op10_quality)}
+ORACLES: dict[str, str] = {"op1_jaccard": _OP1, "op3_topk": _OP3, "op4_licenses": _OP4}
