@@ -1 +1 @@
-
+"""Column expressions. Everything here stays inside the JVM."""

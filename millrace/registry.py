@@ -1,6 +1,7 @@
-"""All registered queries of the library, by operator family, each with its DuckDB equivalent."""
+"""All registered queries of the library, each with its DuckDB equivalent where SQL can express it."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from millrace.queries import ORACLES, QUERIES, relational, series, textual
+
+__all__ = ["ORACLES", "QUERIES", "relational", "series", "textual"]
