@@ -39,7 +39,7 @@ def first_words(s: Column, n: int) -> Column:
 
 
 def percent(p: Column) -> Column:
-    return F.coalesce(F.format_string("%.1f%%", p * 100), F.lit("Not available"))
+    return F.when(p.isNotNull(), F.format_string("%.1f%%", p * 100)).otherwise("Not available")
 
 
 def pretty(feature: Column, names: dict[str, str]) -> Column:
