@@ -29,6 +29,16 @@ def cut(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def wrapped(docs: DataFrame) -> DataFrame:
+    """docs as one column `row`, so that no column of theirs can clash with an operator's own."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+
+
+def unwrapped(df: DataFrame, columns: list[str], **replaced) -> DataFrame:
+    """The columns of `row` again, those named in `replaced` by other expressions."""
+    return df.select(*(replaced.get(c, F.col("row").getField(c)).alias(c) for c in columns))
+
+
 def n_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

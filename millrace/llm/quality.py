@@ -1,7 +1,7 @@
 """Quality classifier with hierarchical empirical Bayes over sites.
 
 Two logistic heads (low quality, toxic) are fitted on the driver from a bounded sample of labelled rows (`max_train`), on the
-presence of selected hashed words and on a few shape measures; every document is then scored where it lies. A site is a host and a
+presence and share of selected hashed words and word prefixes and on a few shape measures; every document is then scored where it lies. A site is a host and a
 path within it. With s = sum of the documents' probabilities and n = their count, summed over all documents,
 
     host rate  = (s_host + K1 * global rate) / (n_host + K1)
@@ -25,8 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import textops as T
+from millrace.llm.common import wrapped
 
-BITS = 18
+BITS = 20  # two of them tell how much of the row's words a feature makes up
+PREFIXES = (4, 5, 7)
+SHARES = (0.004, 0.01, 0.02)
 HEADS = ("low", "toxic")
 GAP = np.ones(256, bool)
 GAP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -41,25 +44,38 @@ N_DENSE = 11
 
 
 def measure(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, word id) of every distinct word of each row, and the rows' shape measures."""
+    """(row, feature id) of every distinct word and word prefix of each row, once more per share of the words it reaches, and the shape measures."""
     rows, ids, dense = [], [], np.zeros((len(column), N_DENSE), np.float32)
     for first, data, at in T.runs(column):
         n = len(at) - 1
         h, row, start, end = T.word_hashes(data, at, GAP)
-        key = np.unique((row.astype(np.uint64) << np.uint64(BITS)) | (h >> np.uint64(64 - BITS)))
-        rows.append((key >> np.uint64(BITS)).astype(np.int64) + first)
-        ids.append((key & np.uint64((1 << BITS) - 1)).astype(np.int64))
+        prefix, found, owner = T.prefix_hash(T.LOWER[data]), [h], [row]
+        for k in PREFIXES:
+            on = np.flatnonzero(end - start > k)
+            found.append(T.span_hash(prefix, start[on], start[on] + k) ^ np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+            owner.append(row[on])
+        count = np.bincount(row, minlength=n)
+        both = (np.concatenate(owner).astype(np.uint64) << np.uint64(BITS - 2)) | (np.concatenate(found) >> np.uint64(66 - BITS))
+        both.sort()
+        new = np.flatnonzero(np.append(True, both[1:] != both[:-1])) if len(both) else np.zeros(0, np.int64)
+        key = both[new]
+        of = (key >> np.uint64(BITS - 2)).astype(np.int64)
+        share = np.diff(np.append(new, len(both))) / np.maximum(count[of], 1)
+        id4 = (key & np.uint64((1 << (BITS - 2)) - 1)).astype(np.int64) << 2
+        level = [np.flatnonzero(share >= x) for x in SHARES]
+        where = np.concatenate([of, *(of[x] for x in level)])
+        order = np.argsort(where, kind="stable")
+        rows.append(where[order] + first)
+        ids.append(np.concatenate([id4, *(id4[x] + i for i, x in enumerate(level, 1))])[order])
         size = np.diff(at)
         part = dense[first : first + n]
         some = np.maximum(size, 1)
         for k in range(6):
             sums = np.concatenate([[0], np.cumsum(_KINDS[k][data])])
             part[:, k] = (sums[at[1:]] - sums[at[:-1]]) / some
-        count = np.bincount(row, minlength=n)
         part[:, 6] = np.log1p(size)
         part[:, 7] = np.bincount(row, weights=end - start, minlength=n) / np.maximum(count, 1)
-        kinds = np.bincount((key >> np.uint64(BITS)).astype(np.int64), minlength=n)
-        part[:, 8] = kinds / np.maximum(count, 1)
+        part[:, 8] = np.bincount(of, minlength=n) / np.maximum(count, 1)
         sh, srow, _ = T.shingles(h, row, n, 5)
         n_sh = np.bincount(srow, minlength=n)
         own = np.unique((sh & ~np.uint64(0xFFFF)) | srow.astype(np.uint64))
@@ -70,7 +86,7 @@ def measure(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(ids), dense
 
 
-def _fit(x: np.ndarray, y: np.ndarray, steps: int = 400, l2: float = 1e-3) -> np.ndarray:
+def _fit(x: np.ndarray, y: np.ndarray, steps: int = 600, l2: float = 2e-4) -> np.ndarray:
     """Logistic regression by Adam on whole batches; the last weight is the intercept."""
     x = np.concatenate([x, np.ones((len(x), 1), np.float32)], 1)
     w = np.zeros(x.shape[1], np.float64)
@@ -88,7 +104,7 @@ def _fit(x: np.ndarray, y: np.ndarray, steps: int = 400, l2: float = 1e-3) -> np
 class Model:
     """Both heads: per head the selected word ids with weights, the shape weights, the intercept and the sample's rate."""
 
-    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray, float | None, float | None]], n_words: int = 512, min_chi2: float = 25.0):
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray, float | None, float | None]], n_words: int = 768, min_chi2: float = 25.0):
         dense = np.array([r[1] for r in rows], np.float32).reshape(-1, N_DENSE)
         self.mean = dense.mean(0) if len(dense) else np.zeros(N_DENSE, np.float32)
         self.std = dense.std(0) + 1e-3 if len(dense) else np.ones(N_DENSE, np.float32)
@@ -153,10 +169,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 8000) -> Model:
 
 def _score(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
     schema = docs.select(*columns).schema
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a few MB, whatever the input
 
     def run(batches):
         for b in batches:
-            low, toxic = model.logits(b.column(b.schema.get_field_index("__text")))
+            low, toxic = shared.value.logits(b.column(b.schema.get_field_index("__text")))
             keep = [i for i, name in enumerate(b.schema.names) if name != "__text"]
             yield pa.record_batch([*(b.column(i) for i in keep), pa.array(low, pa.float64()), pa.array(toxic, pa.float64())], [*(b.schema.names[i] for i in keep), "__low", "__toxic"])
 
@@ -201,11 +218,11 @@ def classify(docs: DataFrame, model: Model, host: str = "source", path: str = "l
     moves them only if the site table is larger than the session lets it broadcast.
     """
     new = ("p_low", "p_toxic", "low_rate", "toxic_rate", "keep")
-    named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\x00"))
-    keyed = docs.drop(*new).withColumns({"__host": named(host), "__path": named(path)})
+    named = lambda c: F.coalesce(F.col(f"row.`{c}`").cast("string"), F.lit("\x00"))
+    keyed = wrapped(docs.drop(*new)).withColumns({"__host": named(host), "__path": named(path), "text": F.col("row.text")})
     table = sites(_score(keyed, model, ["__host", "__path"]))
-    scored = _score(keyed, model, keyed.columns).join(table, ["__host", "__path"])
-    for h in HEADS:
-        scored = scored.withColumn(f"p_{h}", 1 / (1 + F.exp(-(F.col(f"__{h}") + F.col(f"{h}_shift")))))
-    out = scored.withColumn("keep", (F.col("p_low") <= threshold) & (F.col("p_toxic") <= threshold))
-    return out.select(*docs.drop(*new).columns, *new)
+    scored = _score(keyed, model, ["row", "__host", "__path"]).join(table, ["__host", "__path"])
+    p = {h: 1 / (1 + F.exp(-(F.col(f"__{h}") + F.col(f"{h}_shift")))) for h in HEADS}
+    keep = (p["low"] <= threshold) & (p["toxic"] <= threshold)
+    own = [F.col("row").getField(c).alias(c) for c in docs.drop(*new).columns]
+    return scored.select(*own, p["low"].alias("p_low"), p["toxic"].alias("p_toxic"), "low_rate", "toxic_rate", keep.alias("keep"))
