@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import textops as T
-from millrace.llm.common import cut, link_groups, n_parts
+from millrace.llm.common import cut, link_groups, n_parts, unwrapped, wrapped
 
 FLUSH = 2_000_000
 _ROW = np.uint64(0xFFFF)
@@ -328,11 +328,14 @@ def report(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
 
 
 def one_per_group(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
-    """docs with one row of each component: that of the smallest doc_id, then text hash; rows without words all stay."""
+    """docs with one document of each component: that of the smallest doc_id, then text hash; rows without words all stay.
+
+    Rows that repeat both doc_id and text are one document and share its fate.
+    """
     sizes, comp = components(docs, k, percent)
-    named = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__th": F.xxhash64(F.coalesce("text", F.lit("")))})
-    who = named.select("__id", "__th").join(sizes.toDF("__th", "__n"), "__th").where("__n > 0").join(comp.toDF("__th", "__c"), "__th", "left")
-    best = who.groupBy(F.coalesce("__c", "__th").alias("__c")).agg(F.min(F.struct(F.col("__id").isNull().alias("x"), "__id", "__th")).alias("m"), F.count("*").alias("n")).where("n > 1")
-    lost = who.join(best, F.coalesce(who["__c"], who["__th"]) == best["__c"]).where("not (__id <=> m.__id and __th = m.__th)").select(F.coalesce("__id", F.lit(0)).alias("__k"), F.col("__id").isNull().alias("__x"), "__th").distinct()
-    keyed = named.withColumns({"__k": F.coalesce("__id", F.lit(0)), "__x": F.col("__id").isNull()})
-    return keyed.join(lost, ["__k", "__x", "__th"], "left_anti").select(*docs.columns)
+    key = {"k": F.coalesce(F.col("row.doc_id").cast("long"), F.lit(0)), "x": F.col("row.doc_id").isNull(), "th": F.xxhash64(F.coalesce(F.col("row.text"), F.lit("")))}
+    named = wrapped(docs).withColumns(key)
+    who = named.select(*key).join(sizes, "th").where("n > 0").join(comp.toDF("th", "component"), "th", "left").withColumn("c", F.coalesce("component", "th"))
+    best = who.groupBy("c").agg(F.min(F.struct("x", "k", "th")).alias("m"), F.count("*").alias("rows")).where("rows > 1").select("c", "m")
+    lost = who.join(best, "c").where(F.struct("x", "k", "th") != F.col("m")).select(*key).distinct()
+    return unwrapped(named.join(lost, list(key), "left_anti"), docs.columns)
