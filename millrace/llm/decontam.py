@@ -141,6 +141,7 @@ def _block(docs: DataFrame, items: Items, min_score: float, rare_df: int) -> Dat
     per_item = hits.select("item", "seed").distinct().join(freq, "seed")  # at most the block's seeds
     middle = per_item.groupBy("item").agg(F.percentile_approx("df", 0.5, 1000).alias("mid"))
     use = per_item.join(middle, "item").where(F.col("df") <= F.greatest(F.lit(rare_df), "mid")).groupBy("item").agg(F.collect_set("seed").alias("use"))
+    use = F.broadcast(use) if len(items.seed) <= 1_000_000 else use  # else an item with many copies is split by the engine's skew join
     live = cand.join(use, "item").where(F.arrays_overlap("seeds", "use")).select("doc_id", "text_hash", "item", "first_word", "words")
 
     def score(batches):

@@ -108,8 +108,8 @@ class Model:
         dense = np.array([r[1] for r in rows], np.float32).reshape(-1, N_DENSE)
         self.mean = dense.mean(0) if len(dense) else np.zeros(N_DENSE, np.float32)
         self.std = dense.std(0) + 1e-3 if len(dense) else np.ones(N_DENSE, np.float32)
-        owner = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows]) if rows else np.zeros(0, np.int64)
-        words = np.concatenate([r[0] for r in rows]).astype(np.int64) if rows else owner
+        owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[0]) for r in rows]) if rows else np.zeros(0, np.int32)
+        words = np.concatenate([r[0] for r in rows]).astype(np.int32) if rows else owner
         self.heads: list[tuple[np.ndarray, np.ndarray, float, float] | None] = []
         for k in range(2):
             y = np.array([np.nan if r[2 + k] is None else r[2 + k] for r in rows], np.float64)
@@ -117,14 +117,13 @@ class Model:
             if not on.any() or not 0 < np.nanmean(y) < 1:
                 self.heads.append(None)
                 continue
-            use = on[owner]
-            df = np.bincount(words[use], minlength=1 << BITS)
-            hit = np.bincount(words[use], weights=y[owner[use]], minlength=1 << BITS)
+            df = np.bincount(words[on[owner]], minlength=1 << BITS)
+            hit = np.bincount(words[(y == 1)[owner]], minlength=1 << BITS)
             n, rate = on.sum(), y[on].mean()
             chi2 = np.where((df >= 5) & (df <= n - 5), (hit - df * rate) ** 2 / np.maximum(df * rate * (1 - rate) * (1 - df / n), 1e-9), 0)
             best = np.argsort(-chi2, kind="stable")[:n_words]
             best = np.sort(best[chi2[best] >= min_chi2])
-            place = np.full(1 << BITS, -1)
+            place = np.full(1 << BITS, -1, np.int32)
             place[best] = np.arange(len(best))
             x = np.zeros((len(rows), len(best) + N_DENSE), np.float32)
             seen = place[words] >= 0
