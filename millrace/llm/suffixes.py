@@ -72,21 +72,32 @@ def segments(data: np.ndarray, at: np.ndarray, size: int):
     return row, first - at[row], last - at[row], T.span_hash(prefix, anchor, anchor + K), T.span_hash(prefix, first, last + size)
 
 
+_IDX = np.uint64(21)
+_ONES = np.uint64((1 << 21) - 1)
+MAX_BATCH = (1 << 21) - 1024
+
+
 def window_classes(text: np.ndarray, size: int) -> np.ndarray:
-    """Rank of the `size`-byte window at each position among all of the text's, by prefix doubling; the text's end counts as zeros."""
+    """Rank of the `size`-byte window at each position among all of the text's, by prefix doubling; the text's end counts as zeros.
+
+    A round sorts plain integers: rank, rank of what follows, and position, 21 bits each, so a batch holds under 2**21 bytes.
+    """
     n = len(text)
-    padded = np.zeros(n + 8, np.uint64)
-    padded[:n] = text
-    key = np.zeros(n, np.uint64)
-    for i in range(8):
-        key = (key << np.uint64(8)) | padded[i : n + i]
-    rank = np.unique(key, return_inverse=True)[1].astype(np.uint64)
-    have = 8
+    if n > MAX_BATCH + 1000:
+        raise ValueError("batch too large for packed ranks")
+    rank = text.astype(np.uint64) << np.uint64(8)
+    rank[:-1] |= text[1:]
+    place = np.arange(n, dtype=np.uint64)
+    have = min(2, size)
     while have < size:
         step = min(have, size - have)
-        after = np.zeros(n, np.uint64)
-        after[: n - step] = rank[step:] + np.uint64(1)
-        rank = np.unique((rank << np.uint64(32)) | after, return_inverse=True)[1].astype(np.uint64)
+        key = (rank << (_IDX + _IDX)) | place
+        key[: n - step] |= (rank[step:] + np.uint64(1)) << _IDX
+        key.sort()
+        pair = key >> _IDX
+        new = np.zeros(n, np.uint64)
+        np.cumsum(pair[1:] != pair[:-1], out=new[1:], dtype=np.uint64)
+        rank[(key & _ONES).astype(np.int64)] = new
         have += step
     return rank
 
@@ -159,7 +170,7 @@ def _union(ranges: np.ndarray) -> np.ndarray:
     return np.stack([r[new, 0], top[np.append(new[1:], len(r)) - 1]], 1)
 
 
-def repeats(docs: DataFrame, size: int = 400, batch_bytes: int = 4 << 20) -> DataFrame:
+def repeats(docs: DataFrame, size: int = 400, batch_bytes: int = MAX_BATCH) -> DataFrame:
     """k, th (row key), ranges array<struct<from, to>>: what goes, per text with anything to remove."""
     base = _keyed(docs)
 
@@ -179,19 +190,25 @@ def repeats(docs: DataFrame, size: int = 400, batch_bytes: int = 4 << 20) -> Dat
     covered = segs.join(whole, ["ah", "sh"], "left_semi").select("k", "th", F.col("s").alias("from"), (F.col("e") + size).alias("to"))
     ask = kinds.join(mixed, "ah", "left_semi").select("one.k", "one.th", F.struct("ah", "sh", "n", "one.s", "one.e").alias("q"))
 
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     def texts(batches):
+        """Packs the segments asked for, per partition of their anchors."""
         for b in batches:
-            out = ([], [], [], [], [], [], [])
+            to: dict[int, tuple] = {}
             for k, th, q, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 raw = t.encode()
                 for x in q:
-                    for a, v in zip(out, (x["ah"], x["n"], k, th, x["s"], x["e"], raw[x["s"] : x["e"] + size]), strict=True):
-                        a.append(v)
-            yield pa.record_batch([pa.array(a, t) for a, t in zip(out, (pa.int64(), pa.int8(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["ah", "n", "k", "th", "s", "e", "t"])
+                    meta, body = to.setdefault(x["ah"] % parts, ([], []))
+                    meta.append((k, th, x["s"], x["e"], x["n"]))
+                    body.append(raw[x["s"] : x["e"] + size])
+            rows = [(p, np.array(meta, np.int64).tobytes(), T._zip.compress(b"".join(body))) for p, (meta, body) in to.items()]
+            if rows:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["part", "meta", "body"])
 
     asked = ask.groupBy("k", "th").agg(F.collect_list("q").alias("q"))  # one row per text, as long as the text at most
     # Repeated rows send their segments twice, which is harmless: those are repeated whole, and only single ones are asked about.
-    sent = base.join(asked, ["k", "th"]).select("k", "th", "q", "text").mapInArrow(texts, "ah long, n byte, k long, th long, s int, e int, t binary")
+    sent = base.join(asked, ["k", "th"]).select("k", "th", "q", "text").mapInArrow(texts, "part int, meta binary, body binary")
 
     def examine(batches):
         index, rows = LogIndex(size), []
@@ -204,14 +221,18 @@ def repeats(docs: DataFrame, size: int = 400, batch_bytes: int = 4 << 20) -> Dat
             buf, starts, held = [], [], 0
 
         for b in batches:
-            for _, n, k, th, s, e, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                buf.append(t)
-                starts.append(held + np.arange(e - s + 1))
-                held += len(t)
-                if n == 1:
-                    rows.append((k, th, s, e, t))
-                if held >= batch_bytes:
-                    flush()
+            for _, meta, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                body, at = T._unzip.decompress(body), 0
+                for k, th, s, e, n in np.frombuffer(meta, np.int64).reshape(-1, 5).tolist():
+                    t = body[at : at + e - s + size]
+                    at += len(t)
+                    if held + len(t) > batch_bytes:
+                        flush()
+                    buf.append(t)
+                    starts.append(held + np.arange(e - s + 1))
+                    held += len(t)
+                    if n == 1:
+                        rows.append((k, th, s, e, t))
         flush()
         twice = index.repeated()
         out = ([], [], [], [])
@@ -227,8 +248,7 @@ def repeats(docs: DataFrame, size: int = 400, batch_bytes: int = 4 << 20) -> Dat
         if out[0]:
             yield pa.record_batch([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["k", "th", "from", "to"])
 
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    partial = sent.repartition(parts, "ah").mapInArrow(examine, "k long, th long, from int, to int")
+    partial = sent.repartitionById(parts, F.col("part")).mapInArrow(examine, "k long, th long, from int, to int")
     return covered.unionByName(partial).groupBy("k", "th").agg(F.collect_set(F.struct("from", "to")).alias("ranges"))
 
 
