@@ -78,8 +78,8 @@ def link_groups(members: DataFrame, verify, cross, rounds: int = 2) -> DataFrame
     members(g, id): candidates, two ids can be linked only if they share a g. verify(pairs(a, b)) -> the true links among them.
     In each round every group names one member its centre (another one each round), each id outside the centre's component is
     tested against the centre it meets most often, and components are joined along the links found. What then still spans several
-    components goes to cross(rows(g, id, comp)) -> pairs(a, b), which must leave out no true link between different components; those
-    pairs are all tested. Returns (id, component) for ids with a link; nothing is sampled or capped, the rounds only save tests.
+    components goes to cross(rows(g, id, comp)) -> links(a, b), which must join every two components that a true link in a group
+    joins. Returns (id, component) for ids with a link; nothing is sampled or capped, the rounds only save tests.
     """
     members = cut(members)
     tested = edges = comp = None
@@ -93,19 +93,23 @@ def link_groups(members: DataFrame, verify, cross, rounds: int = 2) -> DataFrame
         open_ = m.groupBy("g").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("g")
         return cut(m.join(open_, "g", "left_semi"))
 
+    def join_up(links: DataFrame) -> None:
+        nonlocal edges, comp
+        links = cut(links.select("a", "b"))
+        edges = links if edges is None else edges.unionByName(links)
+        comp = cut(connected_components(edges))
+
     def test(pairs: DataFrame) -> None:
-        nonlocal tested, edges, comp
+        nonlocal tested
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
         pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        links = cut(verify(pairs).select("a", "b"))
         tested = pairs if tested is None else tested.unionByName(pairs)
-        edges = links if edges is None else edges.unionByName(links)
-        comp = cut(connected_components(edges))
+        join_up(verify(pairs))
 
     for r in range(rounds):
         m = live()
         centre = m.groupBy("g").agg(F.min(F.struct(F.xxhash64("id", F.lit(r)).alias("h"), "id", "comp")).alias("c")).select("g", F.col("c.id").alias("cid"), F.col("c.comp").alias("ccomp"))
         meet = m.join(centre, "g").where("comp <> ccomp").groupBy("id", "cid").agg(F.count("*").alias("n"))
         test(meet.groupBy("id").agg(F.max(F.struct("n", "cid")).alias("m")).select(F.col("id").alias("a"), F.col("m.cid").alias("b")))
-    test(cross(live()))
+    join_up(cross(live()))
     return comp

@@ -12,7 +12,7 @@ with nothing). Texts link when 100 * |A & B| >= 75 * |A | B| (`percent`).
 3. Groups are joined to components without listing pairs: tests against centres first, which settles copies of any number, and
    then, only where a group still spans several components, signature trees: leaves hold the texts' token bitmaps, nodes the
    OR of their bitmaps and the range of their sizes, and a dual traversal of the group's tree with itself drops every pair of nodes whose
-   greatest possible overlap is too small for its sizes. Pairs that survive are tested on the exact sets.
+   greatest possible overlap is too small for its sizes. Pairs that survive are decided on the exact sets, in the same task.
 
 Equal texts are folded within each task before step 1, so the copies of one text cost a packed run per task, not per copy.
 
@@ -37,7 +37,7 @@ _ROW = np.uint64(0xFFFF)
 _LOW16 = np.uint64(16)
 _BLOB = "bucket int, flush long, a binary, b binary, c binary"
 _NAMES = ["bucket", "flush", "a", "b", "c"]
-SIG = 512
+SIG = 2048
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -159,7 +159,7 @@ def _sets(percent: int):
             order = np.lexsort((h, doc))
             h, doc, freq = h[order], doc[order], freq[order]
             at = np.searchsorted(doc, np.arange(len(th) + 1))
-            bit = (T.mix(h) >> np.uint64(55)).astype(np.int64)
+            bit = (T.mix(h) >> np.uint64(53)).astype(np.int64)
             out = [[] for _ in names]
             for i in range(len(th)):
                 row = (int(th[i]), int(n[i]), int(count[i]), None, None, None)
@@ -268,23 +268,52 @@ class SignatureTree:
         return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (z, z)
 
 
-def _tree_pairs(percent: int):
+def _tree_links(percent: int):
+    """Groups' members -> links between different components, enough of them to join all components that the group's links join.
+
+    Pairs that survive the trees are decided on the exact sets, unless links found before (in any group of this task) have joined
+    their components already. Failed pairs are remembered, as texts meet in many groups; that memory is a cache of fixed size.
+    """
+
     def run(batches):
+        parent: dict[int, int] = {}
+        failed: set[tuple[int, int]] = set()
+
+        def find(x: int) -> int:
+            while parent.get(x, x) != x:
+                parent[x] = parent.get(parent[x], parent[x])
+                x = parent[x]
+            return x
+
         for b in batches:
+            out = []
             for m in b.column(0):
                 m = m.as_py()
                 m.sort(key=lambda r: (r["n"], r["id"]))
-                ids, n = np.array([r["id"] for r in m]), np.array([r["n"] for r in m])
+                ids, n, comp = [r["id"] for r in m], np.array([r["n"] for r in m]), [r["comp"] for r in m]
                 sig = np.frombuffer(b"".join(r["sig"] for r in m), np.uint64).reshape(len(m), -1)
                 extra = np.array([r["c"] for r in m]) - np.bitwise_count(sig).sum(1)
-                i, j = SignatureTree(n, sig, extra, np.array([r["comp"] for r in m])).pairs(percent)
-                if len(i):
-                    yield pa.record_batch([pa.array(ids[i]), pa.array(ids[j])], ["a", "b"])
+                sets: dict[int, np.ndarray] = {}
+                for i, j in zip(*(x.tolist() for x in SignatureTree(n, sig, extra, np.array(comp)).pairs(percent)), strict=True):
+                    ci, cj, key = find(comp[i]), find(comp[j]), (ids[i], ids[j])
+                    if ci == cj or key in failed:
+                        continue
+                    for x in (i, j):
+                        if x not in sets:
+                            sets[x] = _unset(m[x]["set"])
+                    common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if 100 * common >= percent * (int(n[i]) + int(n[j]) - common):
+                        parent[ci] = cj
+                        out.append(key)
+                    elif len(failed) < 1_000_000:
+                        failed.add(key)
+            if out:
+                yield pa.record_batch([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
 
     return run
 
 
-def components(docs: DataFrame, k: int = 5, percent: int = 75, chunk: int = 1024) -> tuple[DataFrame, DataFrame]:
+def components(docs: DataFrame, k: int = 5, percent: int = 75, chunk: int = 512) -> tuple[DataFrame, DataFrame]:
     """(th, n) of every distinct text, and (id, component) of the texts with a link; th and id are text hashes."""
     parts = n_parts(docs.sparkSession)
     buckets = max(parts, 16)
@@ -306,15 +335,15 @@ def components(docs: DataFrame, k: int = 5, percent: int = 75, chunk: int = 1024
     def cross(rows: DataFrame) -> DataFrame:
         many = rows.groupBy("g").agg(F.ceil(F.count("*") / chunk).cast("int").alias("parts"))
         m = rows.join(many, "g").withColumn("part", F.pmod(F.hash("id"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        info = able.select(F.col("th").alias("id"), "n", "c", "sig")
+        info = able.select(F.col("th").alias("id"), "n", "c", "sig", "set")
         key = ("g", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-        one = F.struct("id", "comp", "n", "c", "sig")
+        one = F.struct("id", "comp", "n", "c", "sig", "set")
         lists = m.join(info, "id").groupBy(*key).agg(F.sort_array(F.collect_list(one)).alias("m"))  # at most two chunks
         # Texts that meet in many groups meet in equal lists: one of each is enough.
         once = lists.groupBy(F.xxhash64(F.transform("m", lambda x: x.id)).alias("h"), F.size("m").alias("l")).agg(F.first("m").alias("m"))
-        return once.select("m").mapInArrow(_tree_pairs(percent), "a long, b long")
+        return once.select("m").mapInArrow(_tree_links(percent), "a long, b long")
 
-    comp = link_groups(members.join(crowd, "g", "left_semi"), verify, cross)
+    comp = link_groups(members.join(crowd, "g", "left_semi"), verify, cross, rounds=3)
     return sets.select("th", "n"), comp
 
 
