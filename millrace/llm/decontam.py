@@ -1,11 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds find candidate passages, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds find candidate passages, Smith-Waterman alignment scores them.
 
 Words are lower-cased runs of letters, digits and bytes over 127, so punctuation and line breaks don't hide a copy. Items are met
 in blocks of at most `block_items`, whose seeds (word trigrams) are shipped to every task; one pass over the texts per block finds
-the seeds and keeps the words around each diagonal they lie on. A seed's document frequency is counted over all documents; a seed
-is used if it is rare (at most `rare_df`) or no more frequent than the median of its item's seeds, so every item keeps at least half
-of its seeds, however often it was copied. Each candidate window is aligned with its item, word by word, with linear gap costs,
-and scores (matches - penalties) / item words.
+the seeds and takes the words around each diagonal they lie on. Every such window counts, however common its seeds are: one that
+holds too few of its item's words to reach `min_score` is left out (an upper bound, so nothing is lost), every other one is aligned
+with its item, word by word, with linear gap costs, and scores (matches - penalties) / item words. A document's verdict depends on
+its own text and the items alone, not on the other documents.
 
 Defined results: null or empty texts and items match nothing; items under `min_words` words are too short to tell and match nothing;
 repeated items give a row each; documents that repeat text are scored alike; an empty table on either side gives no rows; of equal
@@ -20,7 +20,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import textops as T
-from millrace.llm.common import cut
 from millrace.llm.quality import GAP
 
 SEED = 3
@@ -58,7 +57,7 @@ def _hash(column: pa.Array):
 
 
 def find(column: pa.Array, items: Items):
-    """(row, item index, seeds hit, first word, words) for every diagonal band of every row that holds a seed."""
+    """(row, item index, first word, words) for every diagonal band of every row that holds a seed."""
     for first_row, data, offs in T.runs(column):
         n = len(offs) - 1
         h, row, _, _ = T.word_hashes(data, offs, GAP)
@@ -73,9 +72,9 @@ def find(column: pa.Array, items: Items):
         count = items.count[k]
         base = np.repeat(items.first[k] - np.cumsum(count) + count, count) + np.arange(count.sum())
         item, r, pos = items.item[base], np.repeat(srow[hit], count), np.repeat(sat[hit], count)
-        diag, seed = pos - items.at[base], np.repeat(s[hit], count)
+        diag = pos - items.at[base]
         order = np.lexsort((diag, item, r))
-        item, r, diag, seed = item[order], r[order], diag[order], seed[order]
+        item, r, diag = item[order], r[order], diag[order]
         size = np.array([len(w) for w in items.words])
         start_of = np.searchsorted(row, np.arange(n + 1))
         i = 0
@@ -86,7 +85,7 @@ def find(column: pa.Array, items: Items):
                 j = i + int(np.searchsorted(diag[i:b], diag[i] + m, "right"))
                 lo = max(int(start_of[r[a]]), int(diag[i]) - m // 2)
                 hi = min(int(start_of[r[a] + 1]), int(diag[j - 1]) + m + m // 2)
-                yield first_row + int(r[a]), int(item[a]), np.unique(seed[i:j]), lo - int(start_of[r[a]]), h[lo:hi]
+                yield first_row + int(r[a]), int(item[a]), lo - int(start_of[r[a]]), h[lo:hi]
                 i = j
 
 
@@ -107,7 +106,22 @@ def align(item: np.ndarray, windows: np.ndarray, lengths: np.ndarray) -> np.ndar
     return best
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = 0.5, min_words: int = 5, rare_df: int = 64, block_items: int = 20_000) -> DataFrame:
+def scores(found: list, items: Items) -> np.ndarray:
+    """Score of each candidate (row, item index, first word, words) of `found`, batched by item."""
+    item, got = np.array([f[1] for f in found]), np.zeros(len(found))
+    for k in np.unique(item):
+        target, at = items.words[k], np.flatnonzero(item == k)
+        for c in range(0, len(at), 256):
+            some = [found[i][3] for i in at[c : c + 256]]
+            lengths = np.array([len(x) for x in some])
+            box = np.zeros((len(some), max(1, lengths.max(initial=0))), np.uint64)
+            for i, x in enumerate(some):
+                box[i, : len(x)] = x
+            got[at[c : c + 256]] = align(target, box, lengths) / len(target)
+    return got
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = 0.5, min_words: int = 5, block_items: int = 20_000) -> DataFrame:
     """doc_id, text_hash, item_id, score, first_word: one row per document and item it holds a copy of, edited or not."""
     spark = docs.sparkSession
     total = benchmark.count()
@@ -117,53 +131,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = 0.5, min_wor
         part = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
         part = part.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else part
         got = part.orderBy("item_id", "text").toPandas()  # about block_items rows
-        one = _block(docs, Items([-1 if x != x else int(x) for x in got.item_id], list(got.text), min_words), min_score, rare_df)
+        one = _block(docs, Items([-1 if x != x else int(x) for x in got.item_id], list(got.text), min_words), min_score)
         out = one if out is None else out.unionByName(one)
     return out
 
 
-def _block(docs: DataFrame, items: Items, min_score: float, rare_df: int) -> DataFrame:
+def _block(docs: DataFrame, items: Items, min_score: float) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def seek(batches):
+        own = shared.value
         for b in batches:
             for at in range(0, len(b), 2048):
                 part = b.slice(at, 2048)
-                found = list(find(part.column(2), shared.value))
-                if found:
-                    rows = pa.array([f[0] for f in found])
-                    yield pa.record_batch([part.column(0).take(rows), part.column(1).take(rows), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2].view(np.int64) for f in found], pa.list_(pa.int64())), pa.array([f[3] for f in found], pa.int32()), pa.array([f[4].tobytes() for f in found], pa.binary())], ["doc_id", "text_hash", "item", "seeds", "first_word", "words"])
+                # An alignment has at most one match for each item word that stands in the window.
+                found = [f for f in find(part.column(2), own) if MATCH * np.isin(own.words[f[1]], f[3]).sum() >= min_score * len(own.words[f[1]])]
+                if not found:
+                    continue
+                got = scores(found, own)
+                keep = np.flatnonzero(got >= min_score)
+                rows = pa.array([found[i][0] for i in keep], pa.int64())
+                yield pa.record_batch([part.column(0).take(rows), part.column(1).take(rows), pa.array(own.ids[np.array([found[i][1] for i in keep], np.int64)], pa.int64()), pa.array(got[keep]), pa.array([found[i][2] for i in keep], pa.int32())], ["doc_id", "text_hash", "item_id", "score", "first_word"])
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").where("text is not null")
-    cand = cut(base.mapInArrow(seek, "doc_id long, text_hash long, item int, seeds array<long>, first_word int, words binary"))
-    hits = cand.select("doc_id", "text_hash", "item", F.explode("seeds").alias("seed"))
-    freq = hits.select("seed", "doc_id", "text_hash").distinct().groupBy("seed").agg(F.count("*").alias("df"))
-    per_item = hits.select("item", "seed").distinct().join(freq, "seed")  # at most the block's seeds
-    middle = per_item.groupBy("item").agg(F.percentile_approx("df", 0.5, 1000).alias("mid"))
-    use = per_item.join(middle, "item").where(F.col("df") <= F.greatest(F.lit(rare_df), "mid")).groupBy("item").agg(F.collect_set("seed").alias("use"))
-    use = F.broadcast(use) if len(items.seed) <= 1_000_000 else use  # else an item with many copies is split by the engine's skew join
-    live = cand.join(use, "item").where(F.arrays_overlap("seeds", "use")).select("doc_id", "text_hash", "item", "first_word", "words")
-
-    def score(batches):
-        for b in batches:
-            item = b.column(2).to_numpy(zero_copy_only=False)
-            words = b.column(4)
-            got = np.zeros(len(b))
-            for k in np.unique(item):
-                target = shared.value.words[k]
-                at = np.flatnonzero(item == k)
-                for c in range(0, len(at), 256):
-                    some = [np.frombuffer(words[int(i)].as_py(), np.uint64) for i in at[c : c + 256]]
-                    lengths = np.array([len(x) for x in some])
-                    box = np.zeros((len(some), max(1, lengths.max(initial=0))), np.uint64)
-                    for i, x in enumerate(some):
-                        box[i, : len(x)] = x
-                    got[at[c : c + 256]] = align(target, box, lengths) / len(target)
-            keep = np.flatnonzero(got >= min_score)
-            if len(keep):
-                rows = pa.array(keep)
-                yield pa.record_batch([b.column(0).take(rows), b.column(1).take(rows), pa.array(shared.value.ids[item[keep]]), pa.array(got[keep]), b.column(3).take(rows)], ["doc_id", "text_hash", "item_id", "score", "first_word"])
-
-    scored = live.mapInArrow(score, "doc_id long, text_hash long, item_id long, score double, first_word int")
+    scored = base.mapInArrow(seek, "doc_id long, text_hash long, item_id long, score double, first_word int")
     best = F.max(F.struct("score", (-F.col("first_word")).alias("neg"))).alias("m")
     return scored.groupBy("doc_id", "text_hash", "item_id").agg(best).select("doc_id", "text_hash", "item_id", "m.score", (-F.col("m.neg")).alias("first_word"))

@@ -134,6 +134,14 @@ def test_decontamination(spark, none):
     assert decontam.leaks(none, bench).count() == 0 and decontam.leaks(spark.createDataFrame(d, "doc_id long, text string"), bench.limit(0)).count() == 0
 
 
+def test_decontamination_keeps_common_seeds(spark):
+    item = [f"w{i}" for i in range(40)]
+    edited = item[:20] + [f"z{i}" if i % 3 == 0 else w for i, w in enumerate(item[20:])]
+    d = [(i, f"p{i} " + " ".join(item[:20]) + f" q{i}") for i in range(200)] + [(1000 + i, " ".join(item)) for i in range(21)] + [(2000, " ".join(edited))]
+    got = {r.doc_id: r.score for r in decontam.leaks(spark.createDataFrame(d, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
+    assert got.pop(2000) == 0.7375 and set(got) == set(range(200)) | set(range(1000, 1021))
+
+
 def test_alignment():
     r = np.random.default_rng(5)
     for _ in range(20):
