@@ -76,7 +76,7 @@ FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id AND s.r = 1 LEFT JOIN b ON b
 """
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.report(table(spark, sf_dir, "documents"))
+    return lines.report(table(spark, sf_dir, "documents"), max_bits=None)
 
 
 def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -256,6 +256,32 @@ def test_fuzzy_lines_match_brute_force(spark):
     assert links and got == {i: gone.get(i, []) for i, _ in d}
 
 
+def test_line_links_need_edit_similarity_alone(spark):
+    r = random.Random(7)
+
+    def edit(w, m):
+        w = list(w)
+        for _ in range(m):
+            i, how = r.randrange(len(w)), r.randrange(3)
+            w[i : i + 1] = [[f"e{r.randrange(300)}"], [w[i], f"e{r.randrange(300)}"], []][how] if len(w) > 3 else [w[i], "e"]
+        return w
+
+    base = [["of", "the"] * r.randint(0, 3) + [f"v{chr(97 + r.randrange(26))}{chr(97 + r.randrange(26))}" for _ in range(r.randint(3, 60))] for _ in range(40)] + [["a"] * n for n in (3, 4, 5, 8, 11)]
+    texts = [" ".join(w) for b in base for w in (b, edit(b, 1), edit(b, max(1, len(b) // 5)), edit(b, len(b) // 4 + 1))]
+    r.shuffle(texts)
+    d = [(i, "\n".join(texts[4 * i : 4 * i + 4])) for i in range(45)]
+    flat = [(i, n, line) for i, t in d for n, line in enumerate(t.split("\n"))]
+    seqs = [lines.line_words(np.frombuffer(x.encode(), np.uint8), np.array([0, len(x)]))[0] for _, _, x in flat]
+    group = list(range(len(flat)))
+    for a, b in itertools.combinations(range(len(flat)), 2):
+        if lines.edit_similarity(seqs[a], seqs[b]) >= 0.75:
+            x, y = sorted((group[a], group[b]))
+            group = [x if g == y else g for g in group]
+    want = {i: [n for j, (k, n, _) in enumerate(flat) if k == i and group[j] != j] for i, _ in d}
+    got = {x.doc_id: list(x.removed) for x in lines.report(spark.createDataFrame(d, "doc_id long, text string"), max_bits=None).collect()}
+    assert sum(map(len, want.values())) > 60 and got == want
+
+
 def test_edit_similarity():
     assert lines.edit_similarity(np.array([1, 2, 3, 4]), np.array([1, 3, 4])) == 0.75
     assert lines.edit_similarity(np.array([1]), np.array([1])) == 1.0
