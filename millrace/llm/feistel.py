@@ -5,7 +5,9 @@ sequences of `seq_len` ids in order of doc_id; only the last sequence is padded.
 stream: counts are summed per key bucket, the buckets' sums are added up, and ranks are taken within a bucket only.
 A Feistel network over the smallest even-bit domain that holds all sequences, walked until it lands inside, permutes sequence
 numbers into slots with no table: any worker can compute any slot, and resuming needs the next slot alone.
-Slots are range-partitioned; a shard file holds `per_shard` records of equal bytes, so record i starts at i * stride.
+Slots are range-partitioned; `write_order` writes each shard as one file of at most `per_shard` records of equal bytes and nothing else,
+so record i of a shard starts at i * stride. A file gets its name when it is whole; a later call with the same arguments writes
+the missing shards only. `read_record` seeks one slot.
 
 Defined results: null text counts as empty (its end token only); null doc_ids come first; rows that repeat a doc_id are
 ordered by their text's hash, and equal rows are interchangeable; an empty table gives no sequences; other columns are ignored.
@@ -15,9 +17,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
+import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,8 +98,11 @@ def offsets(groups: DataFrame, bucket_rows: int = 1 << 16) -> tuple[DataFrame, i
 _OUT = "slot long, shard long, byte_offset long, seq long, n_tokens int, tokens binary"
 
 
-def materialise(docs: DataFrame, key: str, seq_len: int = 2048, per_shard: int = 4096, tokens: Tokens | None = None) -> DataFrame:
-    """slot, shard, byte_offset, seq (number before the permutation), n_tokens, tokens (fixed-stride bytes); partitions are ranges of slots, sorted."""
+def materialise(docs: DataFrame, key: str, seq_len: int = 2048, per_shard: int = 4096, tokens: Tokens | None = None, skip: Callable[[int], list[int]] | None = None) -> DataFrame:
+    """slot, shard, byte_offset, seq (number before the permutation), n_tokens, tokens (fixed-stride bytes); partitions are ranges of slots, sorted.
+
+    skip(number of sequences) names shards to leave out; their texts are cut but neither shuffled nor assembled.
+    """
     spark = docs.sparkSession
     tokens = tokens or Tokens()
     plain = tokens.encoding == "bytes"
@@ -108,6 +117,7 @@ def materialise(docs: DataFrame, key: str, seq_len: int = 2048, per_shard: int =
     if not n_seq:
         return spark.createDataFrame([], _OUT)
     stride = seq_len * tokens.dtype.itemsize
+    without = np.array(skip(n_seq) if skip else [], np.int64)
     # Equal rows of one doc_id share a start; each takes its own place after it.
     nth = F.row_number().over(Window.partitionBy("k", "missing", "tie").orderBy(F.lit(0))) - 1
     placed = base.join(starts, ["k", "missing", "tie"]).select("start", nth.alias("nth"), "text")
@@ -121,7 +131,9 @@ def materialise(docs: DataFrame, key: str, seq_len: int = 2048, per_shard: int =
 
             def out(seq, at, part):
                 s = np.array(seq, np.int64)
-                return pa.record_batch([pa.array(permute(s, n_seq, key), pa.int64()), pa.array(s), pa.array(at, pa.int32()), pa.array(part, pa.binary())], ["slot", "seq", "at", "part"])
+                slot = permute(s, n_seq, key)
+                got = pa.record_batch([pa.array(slot, pa.int64()), pa.array(s), pa.array(at, pa.int32()), pa.array(part, pa.binary())], ["slot", "seq", "at", "part"])
+                return got.filter(pa.array(~np.isin(slot // per_shard, without))) if len(without) else got
 
             for start, again, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 ids, i = ids_of(t), 0
@@ -173,10 +185,95 @@ def materialise(docs: DataFrame, key: str, seq_len: int = 2048, per_shard: int =
     return dealt.sortWithinPartitions("slot", "at").mapInArrow(assemble, _OUT)
 
 
+def _store(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path)
+
+
+def _name(shard: int) -> str:
+    return f"shard-{shard:08d}.bin"
+
+
+def _put(store: fs.FileSystem, folder: str, name: str, chunks) -> None:
+    """Writes a file that has its name only once it is whole."""
+    half = f"{folder}/.{name}.{uuid.uuid4().hex}"
+    try:
+        with store.open_output_stream(half) as f:
+            for c in chunks:
+                f.write(c)
+        store.move(half, f"{folder}/{name}")
+    except BaseException:
+        if store.get_file_info(half).type != fs.FileType.NotFound:
+            store.delete_file(half)
+        raise
+
+
 def write_shards(records: DataFrame, path: str) -> DataFrame:
-    """Writes records to path as part files under shard=<n>/ (Parquet, sorted by slot) and returns (shard, first_slot, n) of what it wrote.
+    """Writes each shard of records to path (a folder that all executors share) as one file of equal-stride records in order of slot.
 
-    A shard written whole before an interruption can be told by its count and is left out by a caller that resumes.
+    Returns (shard, first_slot, n) of what it wrote. A file of a shard that is there already is replaced whole.
     """
-    records.repartitionByRange("shard").sortWithinPartitions("slot").write.partitionBy("shard").parquet(path)
-    return records.sparkSession.read.parquet(path).groupBy("shard").agg(F.min("slot").alias("first_slot"), F.count("*").alias("n"))
+    store, folder = _store(path)
+    store.create_dir(folder, recursive=True)
+
+    def write(batches):
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        ahead = next(rows, None)
+        while ahead is not None:
+            shard, first, n = ahead[0], ahead[1], 0
+
+            def chunks():
+                nonlocal ahead, n
+                while ahead is not None and ahead[0] == shard:
+                    if ahead[2] != n * len(ahead[3]):
+                        raise ValueError(f"shard {shard} lacks the record before slot {ahead[1]}")
+                    yield ahead[3]
+                    n, ahead = n + 1, next(rows, None)
+
+            to, at = _store(path)
+            _put(to, at, _name(shard), chunks())
+            yield pa.record_batch([pa.array([shard], pa.int64()), pa.array([first], pa.int64()), pa.array([n], pa.int64())], ["shard", "first_slot", "n"])
+
+    schema = "shard long, first_slot long, n long"
+    done = records.select("shard", "slot", "byte_offset", "tokens").repartition("shard").sortWithinPartitions("slot").mapInArrow(write, schema)
+    rows = [tuple(r) for r in done.collect()]  # one row per file
+    return records.sparkSession.createDataFrame(rows, schema)
+
+
+def write_order(docs: DataFrame, path: str, key: str, seq_len: int = 2048, per_shard: int = 4096, tokens: Tokens | None = None) -> DataFrame:
+    """Materialises the order of docs as shard files under path; shards that are there whole are left as they are.
+
+    Returns (shard, first_slot, n) of the shards written now. A folder begun with other arguments or another number of sequences is refused.
+    """
+    tokens = tokens or Tokens()
+    store, folder = _store(path)
+    store.create_dir(folder, recursive=True)
+    stride = seq_len * tokens.dtype.itemsize
+
+    def whole(n_seq: int) -> list[int]:
+        layout = {"key": key, "seq_len": seq_len, "per_shard": per_shard, "dtype": tokens.dtype.str, "end": tokens.end, "n_seq": n_seq}
+        if store.get_file_info(f"{folder}/layout.json").type == fs.FileType.NotFound:
+            _put(store, folder, "layout.json", [json.dumps(layout).encode()])
+        elif _layout(store, folder) != layout:
+            raise ValueError(f"{path} holds another order")
+        have = {f.base_name: f.size for f in store.get_file_info(fs.FileSelector(folder))}
+        return [s for s in range(-(-n_seq // per_shard)) if have.get(_name(s)) == min(per_shard, n_seq - s * per_shard) * stride]
+
+    return write_shards(materialise(docs, key, seq_len, per_shard, tokens, whole), path)
+
+
+def _layout(store: fs.FileSystem, folder: str) -> dict:
+    with store.open_input_stream(f"{folder}/layout.json") as f:
+        return json.loads(f.read())
+
+
+def read_record(path: str, slot: int) -> np.ndarray:
+    """Token ids of one slot: one seek in one shard file."""
+    store, folder = _store(path)
+    at = _layout(store, folder)
+    if not 0 <= slot < at["n_seq"]:
+        raise IndexError(slot)
+    dtype = np.dtype(at["dtype"])
+    stride = at["seq_len"] * dtype.itemsize
+    with store.open_input_file(f"{folder}/{_name(slot // at['per_shard'])}") as f:
+        f.seek(slot % at["per_shard"] * stride)
+        return np.frombuffer(f.read(stride), dtype)

@@ -314,6 +314,26 @@ def test_shard_files(docs, tmp_path):
     assert [r.first_slot for r in got] == [50 * i for i in range(len(got))] and all(r.n == 50 for r in got[:-1])
 
 
+def test_shard_files_are_fixed_stride_and_resume(docs, none, tmp_path):
+    path, how = str(tmp_path / "out"), {"key": "key", "seq_len": 64, "per_shard": 50}
+    want = {r.slot: r for r in feistel.materialise(docs, **how).collect()}
+    assert feistel.write_order(docs, path, **how).count() == -(-len(want) // 50)
+    files = sorted(tmp_path.glob("out/shard-*.bin"))
+    for r in want.values():
+        assert files[r.shard].read_bytes()[r.byte_offset : r.byte_offset + 128] == r.tokens == feistel.read_record(path, r.slot).tobytes()
+    assert sum(f.stat().st_size for f in files) == 128 * len(want)
+    before = {f: f.stat().st_mtime_ns for f in files}
+    files[0].unlink()
+    files[2].write_bytes(files[2].read_bytes()[:-1])
+    assert sorted(r.shard for r in feistel.write_order(docs, path, **how).collect()) == [0, 2]
+    assert all(f.stat().st_mtime_ns == before[f] for f in files if f not in (files[0], files[2]))
+    assert all(feistel.read_record(path, s).tobytes() == want[s].tokens for s in want) and not list(tmp_path.glob("out/.shard*"))
+    assert feistel.write_order(docs, path, **how).count() == 0
+    with pytest.raises(ValueError):
+        feistel.write_order(docs, path, "other key", 64, 50)
+    assert feistel.write_order(none, str(tmp_path / "none"), "key").count() == 0
+
+
 # 8
 
 
