@@ -4,10 +4,12 @@ Units are a document's lines and the whole document. A unit is lower-cased and e
 one blank; its set holds the distinct bigrams of its words (one word alone stands for itself). Dice = 2 * common / (|A| + |B|)
 can reach t only if the smaller set has at least t / (2 - t) times the larger one's size, so a unit looks only at templates within
 those bounds, and only at those it shares a bigram with (an equi-join; templates are few and broadcast).
+A document in which no unit reaches the threshold is looked at by word windows: as many words as the template has, starting wherever a
+bigram they share says that the template would start. So a notice wrapped over lines or with other words on its line is found, too.
 Only built-in expressions are used.
 
 Defined results: null or empty text has no units and no licence; ties go to the smaller template id, then to the first unit;
-the whole document counts as unit -1 and only if it has several lines; rows of one doc_id share their result, each giving a row; other columns are ignored.
+the whole document counts as unit -1 and only if it has several lines; a window counts as unit -2, and n_units then counts windows; rows of one doc_id share their result, each giving a row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -66,6 +68,28 @@ def anchors(sets: list[list[str]], ratio: float) -> list[str]:
     return sorted(out)
 
 
+def ordered_bigrams(w: Column) -> Column:
+    return F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))
+
+
+def windows(rest: DataFrame, known: DataFrame, min_dice: float) -> DataFrame:
+    """id, m (neg, template_id, unit, license), n_units of the documents of rest (doc_id, text) with a window that reaches min_dice."""
+    ratio = min_dice / (2 - min_dice)
+    t = known.select("template_id", "license", normal_words(F.col("text")).alias("tw")).where(F.size("tw") > 1)
+    t = t.select("template_id", "license", F.size("tw").alias("m"), bigrams(F.col("tw")).alias("tb"), ordered_bigrams(F.col("tw")).alias("to"))
+    grams = t.select("template_id", F.size("tb").alias("nb"), F.posexplode("to").alias("q", "g"))
+    docs = rest.select("doc_id", F.xxhash64("text").alias("uh"), normal_words(F.col("text")).alias("w")).where(F.size("w") > 1)
+    hits = docs.select("doc_id", "uh", F.posexplode(ordered_bigrams(F.col("w"))).alias("p", "g")).join(F.broadcast(grams), "g")
+    # min_dice takes at least ratio * nb of the template's bigrams.
+    both = hits.groupBy("doc_id", "uh", "template_id", "nb").agg(F.countDistinct("g").alias("c"), F.collect_set(F.greatest(F.col("p") - F.col("q"), F.lit(0))).alias("starts"))
+    both = both.where(F.col("c") >= F.col("nb") * ratio).withColumnsRenamed({"doc_id": "id", "uh": "h"})
+    at = docs.join(both, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("uh") == F.col("h"))).join(F.broadcast(t), "template_id")
+    at = at.select("id", "template_id", "license", "tb", "nb", "w", "m", F.explode("starts").alias("start"))
+    at = at.select("id", "template_id", "license", "tb", "nb", "start", bigrams(F.slice("w", F.col("start") + 1, F.col("m"))).alias("b"))
+    scored = at.withColumn("dice", 2 * F.size(F.array_intersect("b", "tb")) / (F.size("b") + F.col("nb"))).where(F.col("dice") >= min_dice)
+    return scored.groupBy("id").agg(F.min(F.struct((-F.col("dice")).alias("neg"), "template_id", F.lit(-2).alias("unit"), "license")).alias("m"), F.countDistinct("start").alias("n_units"))
+
+
 def scan(docs: DataFrame, known: DataFrame, min_dice: float = 0.75, max_templates: int = 10_000) -> DataFrame:
     """One row per document: doc_id, license, template_id, unit, dice (null where none reaches min_dice), n_units matched.
 
@@ -93,5 +117,8 @@ def scan(docs: DataFrame, known: DataFrame, min_dice: float = 0.75, max_template
     hits = units.select("doc_id", "uh", "unit", "na", F.explode("b").alias("g")).join(F.broadcast(grams), "g").where((F.col("na") >= F.col("nb") * ratio) & (F.col("nb") >= F.col("na") * ratio))
     scored = hits.groupBy("doc_id", "uh", "unit", "template_id", "license", "na", "nb").agg(F.countDistinct("g").alias("c")).withColumn("dice", 2 * F.col("c") / (F.col("na") + F.col("nb"))).where(F.col("dice") >= min_dice)
     best = scored.groupBy(F.col("doc_id").alias("id")).agg(F.min(F.struct((-F.col("dice")).alias("neg"), "template_id", "unit", "license")).alias("m"), F.countDistinct("unit").alias("n_units"))
+    best = best.persist()
+    rest = near.select("doc_id", "text").join(best.select("id"), F.col("doc_id").eqNullSafe(F.col("id")), "left_anti")
+    best = best.unionByName(windows(rest, known, min_dice))
     out = docs.select("doc_id").join(best, F.col("doc_id").eqNullSafe(F.col("id")), "left")
     return out.select("doc_id", "m.license", "m.template_id", "m.unit", (-F.col("m.neg")).alias("dice"), F.coalesce("n_units", F.lit(0)).cast("long").alias("n_units"))

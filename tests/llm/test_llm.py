@@ -182,6 +182,15 @@ def test_licenses(spark, docs, none):
     assert licenses.scan(none, licenses.templates(spark)).count() == 0
 
 
+def test_wrapped_and_embedded_licenses(spark):
+    import textwrap
+
+    mit, filler = licenses.TEMPLATES[12][1], "\n".join(f"some other words {i} stand here" for i in range(60))
+    d = [(1, f"{filler}\n" + "\n".join(textwrap.wrap(mit, 78)) + f"\n{filler}"), (2, "Copyright (c) 2020 Foo. Released under the MIT License."), (3, f"{filler}\nreleased under\n{filler}\nthe MIT license"), (None, f"{filler} Licensed under\nCC BY-SA 4.0 {filler}")]
+    got = {r.doc_id: (r.license, r.unit, r.dice) for r in licenses.scan(spark.createDataFrame(d, "doc_id long, text string"), licenses.templates(spark)).collect()}
+    assert got == {1: ("MIT", -2, 1.0), 2: ("MIT", -2, 1.0), 3: (None, None, None), None: ("CC-BY-SA-4.0", -2, 1.0)}
+
+
 def test_license_anchors_are_exact():
     r = random.Random(1)
     grams = [f"a{i} b{i}" for i in range(20)]
