@@ -261,7 +261,7 @@ def test_fuzzy_lines_match_brute_force(spark):
         if group[k] in seen:
             gone.setdefault(i, []).append(n)
         seen.add(group[k])
-    got = {x.doc_id: list(x.removed) for x in lines.report(spark.createDataFrame(d, "doc_id long, text string")).collect()}
+    got = {x.doc_id: list(x.removed) for x in lines.report(spark.createDataFrame(d, "doc_id long, text string"), max_bits=3).collect()}
     assert links and got == {i: gone.get(i, []) for i, _ in d}
 
 
