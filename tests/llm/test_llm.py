@@ -287,10 +287,30 @@ def test_line_links_need_edit_similarity_alone(spark):
             x, y = sorted((group[a], group[b]))
             group = [x if g == y else g for g in group]
     want = {i: [n for j, (k, n, _) in enumerate(flat) if k == i and group[j] != j] for i, _ in d}
-    got = {x.doc_id: list(x.removed) for x in lines.report(spark.createDataFrame(d, "doc_id long, text string"), max_bits=None).collect()}
+    got = {x.doc_id: list(x.removed) for x in lines.report(spark.createDataFrame(d, "doc_id long, text string"), sketch=None).collect()}
     assert sum(map(len, want.values())) > 60 and got == want
 
 
+def test_line_recall_by_edit_similarity_alone():
+    """Pairs at random edits down to similarity 0.75, lines of 5 to 200 words: the share that meet under a key, against all of them."""
+    r = random.Random(11)
+    flat = lines.Rarity(np.zeros((3, 1 << 10), np.int32))
+    for n in (5, 8, 15, 16, 20, 30, 60, 100, 200):
+        met = total = 0
+        for _ in range(150):
+            a = [r.randrange(1 << 40) for _ in range(n)]
+            b = list(a)
+            for _ in range(r.randint(1, max(1, n // 4))):
+                i = r.randrange(len(b))
+                b[i : i + 1] = [[r.randrange(1 << 40)], [b[i], r.randrange(1 << 40)], []][r.randrange(3)]
+            x, y = (T.mix(np.array(w, np.uint64)) for w in (a, b))
+            if min(len(a), len(b)) >= 3 and lines.edit_similarity(x, y) >= 0.75:
+                keys, line, _ = lines.line_keys(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)]), flat, 0.75, 10)
+                met += bool(set(keys[line == 0].tolist()) & set(keys[line == 1].tolist()))
+                total += 1
+        assert total > 50 and met >= (1.0 if n <= 15 else 0.95) * total, (n, met, total)
+
+
 def test_edit_similarity():
     assert lines.edit_similarity(np.array([1, 2, 3, 4]), np.array([1, 3, 4])) == 0.75
     assert lines.edit_similarity(np.array([1]), np.array([1])) == 1.0
