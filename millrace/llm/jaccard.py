@@ -9,8 +9,8 @@ with nothing). Texts link when 100 * |A & B| >= 75 * |A | B| (`percent`).
    have a shingle in common among their first |A| - ceil(t|A|) + 1. A text with that many shingles of its own can link with nothing;
    the others keep their shared shingles as their exact set, and the prefix as keys to groups. Shingles that many texts repeat
    come last in that order, so a common passage makes no group unless it is most of the text.
-3. Groups are joined to components without listing pairs: tests against centres first, which settles copies of any number, and
-   then, only where a group still spans several components, signature trees: leaves hold the texts' token bitmaps, nodes the
+3. Of groups with the same texts one is kept. They are joined to components without listing pairs: tests against centres first,
+   which settles copies of any number, and then, only where a group still spans several components, signature trees: leaves hold the texts' token bitmaps, nodes the
    OR of their bitmaps and the range of their sizes, and a dual traversal of the group's tree with itself drops every pair of nodes whose
    greatest possible overlap is too small for its sizes. Pairs that survive are decided on the exact sets, in the same task.
 
@@ -18,7 +18,8 @@ Equal texts are folded within each task before step 1, so the copies of one text
 
 Defined results: null text is empty; texts with equal sets link, whatever their texts; null doc_ids take part but name no
 component (a component of none but null ids is null); rows that repeat a doc_id with other text are texts of their own; an empty
-table gives no rows; other columns are ignored. Shingles are told apart by 48 bits of hash.
+table gives no rows; other columns are ignored; texts are taken whole, however long. Shingles are told apart by 48 bits of hash, texts
+by 64.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import textops as T
-from millrace.llm.common import cut, link_groups, n_parts, unwrapped, wrapped
+from millrace.llm.common import cut, distinct_groups, link_groups, n_parts, unwrapped, wrapped
 
 FLUSH = 2_000_000
 _ROW = np.uint64(0xFFFF)
@@ -313,7 +314,7 @@ def _tree_links(percent: int):
     return run
 
 
-def components(docs: DataFrame, k: int = 5, percent: int = 75, chunk: int = 512) -> tuple[DataFrame, DataFrame]:
+def components(docs: DataFrame, k: int = 5, percent: int = 75, chunk: int = 4 << 20) -> tuple[DataFrame, DataFrame]:
     """(th, n) of every distinct text, and (id, component) of the texts with a link; th and id are text hashes."""
     parts = n_parts(docs.sparkSession)
     buckets = max(parts, 16)
@@ -324,8 +325,7 @@ def components(docs: DataFrame, k: int = 5, percent: int = 75, chunk: int = 512)
     sets = shared.repartition(parts, "flush").mapInArrow(_sets(percent), _SETS)
     sets = cut(sets.repartition(parts, "th").mapInArrow(_once, _SETS))
     able = sets.where("set is not null")
-    members = able.select(F.explode("prefix").alias("g"), F.col("th").alias("id"))
-    crowd = members.groupBy("g").agg(F.count("*").alias("c")).where("c > 1").select("g")
+    members = cut(able.select(F.explode("prefix").alias("g"), F.col("th").alias("id")))
     sides = [able.select(F.col("th").alias(x), F.col("n").alias(f"n{x}"), F.col("set").alias(f"s{x}")) for x in "ab"]
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -333,17 +333,18 @@ def components(docs: DataFrame, k: int = 5, percent: int = 75, chunk: int = 512)
         return near.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_exact(percent), "a long, b long")
 
     def cross(rows: DataFrame) -> DataFrame:
-        many = rows.groupBy("g").agg(F.ceil(F.count("*") / chunk).cast("int").alias("parts"))
-        m = rows.join(many, "g").withColumn("part", F.pmod(F.hash("id"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        """Links between components; a group of many bytes is dealt in pairs of parts of about `chunk` bytes."""
         info = able.select(F.col("th").alias("id"), "n", "c", "sig", "set")
+        size = able.select(F.col("th").alias("id"), (F.length("set") + SIG // 8 + 64).alias("b"))
+        many = rows.join(size, "id").groupBy("g").agg(F.ceil(F.sum("b") / chunk).cast("int").alias("parts"))
+        m = rows.join(many, "g").withColumn("part", F.pmod(F.hash("id"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         key = ("g", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
         one = F.struct("id", "comp", "n", "c", "sig", "set")
-        lists = m.join(info, "id").groupBy(*key).agg(F.sort_array(F.collect_list(one)).alias("m"))  # at most two chunks
-        # Texts that meet in many groups meet in equal lists: one of each is enough.
-        once = lists.groupBy(F.xxhash64(F.transform("m", lambda x: x.id)).alias("h"), F.size("m").alias("l")).agg(F.first("m").alias("m"))
-        return once.select("m").mapInArrow(_tree_links(percent), "a long, b long")
+        lists = m.join(info, "id").groupBy(*key).agg(F.sort_array(F.collect_list(one)).alias("m"))  # at most two parts
+        return lists.select("m").mapInArrow(_tree_links(percent), "a long, b long")
 
-    comp = link_groups(members.join(crowd, "g", "left_semi"), verify, cross, rounds=3)
+    groups = cut(distinct_groups(members), members)
+    comp = link_groups(groups, verify, cross, rounds=2)
     return sets.select("th", "n"), comp
 
 
