@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import textops as T
-from millrace.llm.common import cut
+from millrace.llm.common import cut, n_parts
 
 K = 40
 _SLICE, _PLACE = 1 << 22, np.uint64((1 << 24) - 1)
@@ -190,7 +190,7 @@ def repeats(docs: DataFrame, size: int = 400, batch_bytes: int = MAX_BATCH) -> D
     covered = segs.join(whole, ["ah", "sh"], "left_semi").select("k", "th", F.col("s").alias("from"), (F.col("e") + size).alias("to"))
     ask = kinds.join(mixed, "ah", "left_semi").select("one.k", "one.th", F.struct("ah", "sh", "n", "one.s", "one.e").alias("q"))
 
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = n_parts(docs.sparkSession)
 
     def texts(batches):
         """Packs the segments asked for, per partition of their anchors."""
@@ -249,7 +249,7 @@ def repeats(docs: DataFrame, size: int = 400, batch_bytes: int = MAX_BATCH) -> D
             yield pa.record_batch([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["k", "th", "from", "to"])
 
     partial = sent.repartitionById(parts, F.col("part")).mapInArrow(examine, "k long, th long, from int, to int")
-    return covered.unionByName(partial).groupBy("k", "th").agg(F.collect_set(F.struct("from", "to")).alias("ranges"))
+    return cut(covered.unionByName(partial).groupBy("k", "th").agg(F.collect_set(F.struct("from", "to")).alias("ranges")), kinds)
 
 
 def _keyed(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -257,10 +257,11 @@ def _keyed(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("k"), F.xxhash64(text).alias("th"), text.alias("text"), *extra)
 
 
-def digest(docs: DataFrame, size: int = 400, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row (and kept, the remaining bytes)."""
+def digest(docs: DataFrame, size: int = 400) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and text (what remains, without characters cut in two) for every row."""
     gone = repeats(docs, size)
     joined = _keyed(docs, ("doc_id",)).join(gone, ["k", "th"], "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "ranges")
+    names, types = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"], (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
 
     def keep(batches):
         for b in batches:
@@ -272,10 +273,9 @@ def digest(docs: DataFrame, size: int = 400, with_text: bool = False) -> DataFra
                 for a, z in spans:
                     kept.append(raw[at:a])
                     at = z
-                kept = b"".join([*kept, raw[at:]])
-                for o, v in zip(out, (len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept), strict=True):
+                kept = b"".join([*kept, raw[at:]]) if spans else raw
+                for o, v in zip(out, (len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if spans else t), strict=True):
                     o.append(v)
-            cols = [b.column(0), *(pa.array(o, t) for o, t in zip(out[: 4 + with_text], (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())[: 4 + with_text], strict=True))]
-            yield pa.record_batch(cols, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + with_text])
+            yield pa.record_batch([b.column(0), *(pa.array(o, t) for o, t in zip(out, types, strict=True))], names)
 
-    return joined.mapInArrow(keep, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+    return joined.mapInArrow(keep, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")

@@ -439,7 +439,9 @@ def brute_removal(texts, size):
 
 @pytest.mark.parametrize("size", [60, 400])
 def test_suffixes(spark, clashing, none, size):
-    got = sorted((tuple(r) for r in suffixes.digest(clashing, size).collect()), key=str)
+    out = suffixes.digest(clashing, size).collect()
+    got = sorted((tuple(r)[:5] for r in out), key=str)
+    assert all(hashlib.sha256(r.text.encode()).hexdigest() == r.kept_sha256 for r in out if r.text.isascii())
     expect = sorted(((i, *x) for (i, _), x in zip(rows(), brute_removal([t for _, t in rows()], size), strict=True)), key=str)
     assert got == expect and sum(r[2] for r in got) > 0
     assert suffixes.digest(none).count() == 0
