@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import textops as T
-from millrace.llm.common import wrapped
+from millrace.llm.common import cut, drop, wrapped
 
 BITS = 20  # two of them tell how much of the row's words a feature makes up
 PREFIXES = (4, 5, 7)
@@ -87,52 +87,46 @@ def measure(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _fit(x: np.ndarray, y: np.ndarray, steps: int = 600, l2: float = 2e-4) -> np.ndarray:
-    """Logistic regression by Adam on whole batches; the last weight is the intercept."""
-    x = np.concatenate([x, np.ones((len(x), 1), np.float32)], 1)
+    """Logistic regression by Adam on whole batches; the last column of x is 1 and its weight the intercept."""
+    y = y.astype(np.float32)
     w = np.zeros(x.shape[1], np.float64)
-    rate = y.mean()
+    rate = float(y.mean())
     w[-1] = np.log(rate / (1 - rate))
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(x @ w.astype(np.float32), -30, 30)))
-        g = x.T @ (p - y) / len(y) + l2 * np.append(w[:-1], 0)
+        g = (p - y) @ x / len(y) + l2 * np.append(w[:-1], 0)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w
 
 
 class Model:
-    """Both heads: per head the selected word ids with weights, the shape weights, the intercept and the sample's rate."""
+    """Both heads: per head the selected word ids with weights, the shape weights, the intercept and the sample's rate.
 
-    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray, float | None, float | None]], n_words: int = 768, min_chi2: float = 25.0):
-        dense = np.array([r[1] for r in rows], np.float32).reshape(-1, N_DENSE)
+    best: each head's selected ids, sorted. For every sample row, ids: its ids among both heads' selected ones; dense: its shape measures;
+    y: per head 0, 1 or NaN.
+    """
+
+    def __init__(self, best: list[np.ndarray], ids: list[np.ndarray], dense: np.ndarray, y: np.ndarray):
         self.mean = dense.mean(0) if len(dense) else np.zeros(N_DENSE, np.float32)
         self.std = dense.std(0) + 1e-3 if len(dense) else np.ones(N_DENSE, np.float32)
-        owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[0]) for r in rows]) if rows else np.zeros(0, np.int32)
-        words = np.concatenate([r[0] for r in rows]).astype(np.int32) if rows else owner
         self.heads: list[tuple[np.ndarray, np.ndarray, float, float] | None] = []
         for k in range(2):
-            y = np.array([np.nan if r[2 + k] is None else r[2 + k] for r in rows], np.float64)
-            on = ~np.isnan(y)
-            if not on.any() or not 0 < np.nanmean(y) < 1:
+            on = np.flatnonzero(~np.isnan(y[:, k]))
+            if not len(on) or not 0 < y[on, k].mean() < 1:
                 self.heads.append(None)
                 continue
-            df = np.bincount(words[on[owner]], minlength=1 << BITS)
-            hit = np.bincount(words[(y == 1)[owner]], minlength=1 << BITS)
-            n, rate = on.sum(), y[on].mean()
-            chi2 = np.where((df >= 5) & (df <= n - 5), (hit - df * rate) ** 2 / np.maximum(df * rate * (1 - rate) * (1 - df / n), 1e-9), 0)
-            best = np.argsort(-chi2, kind="stable")[:n_words]
-            best = np.sort(best[chi2[best] >= min_chi2])
-            place = np.full(1 << BITS, -1, np.int32)
-            place[best] = np.arange(len(best))
-            x = np.zeros((len(rows), len(best) + N_DENSE), np.float32)
-            seen = place[words] >= 0
-            x[owner[seen], place[words[seen]]] = 1
-            x[:, len(best) :] = self.shape(dense)
-            w = _fit(x[on], y[on])
+            n = len(best[k])
+            x = np.zeros((len(on), n + N_DENSE + 1), np.float32)
+            for i, r in enumerate(on):
+                x[i, np.flatnonzero(np.isin(best[k], ids[r], assume_unique=True))] = 1
+            x[:, n:-1] = self.shape(dense[on])
+            x[:, -1] = 1
+            w = _fit(x, y[on, k])
             table = np.zeros(1 << BITS, np.float32)
-            table[best] = w[: len(best)]
-            self.heads.append((table, w[len(best) : -1], float(w[-1]), float(rate)))
+            table[best[k]] = w[:n]
+            self.heads.append((table, w[n:-1], float(w[-1]), float(y[on, k].mean())))
 
     def shape(self, dense: np.ndarray) -> np.ndarray:
         return np.clip((dense - self.mean) / self.std, -6, 6)
@@ -148,8 +142,11 @@ class Model:
         return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = 8000) -> Model:
-    """Fits on about max_train labelled rows, taken by a hash of their id: the one bounded sample of this operator."""
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = 8000, n_words: int = 768, min_chi2: float = 25.0) -> Model:
+    """Fits on about max_train labelled rows, taken by a hash of their id: the one bounded sample of this operator.
+
+    The n_words ids that tell most are chosen by sums over the sample's partitions; the driver gets those ids alone of each row.
+    """
     labels = labels.select(F.col("doc_id").alias("label_id"), F.col("quality").cast("double").alias("q"), F.col("toxic").cast("double").alias("t")).where("label_id is not null")
     n = labels.count()
     few = labels.where(F.pmod(F.xxhash64("label_id"), F.lit(1 << 20)) < (1 << 20) * min(1.0, max_train / max(n, 1)))
@@ -159,11 +156,47 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 8000) -> Model:
             row, word, dense = measure(b.column(0))
             at = np.searchsorted(row, np.arange(len(b) + 1))
             ids = [word[at[i] : at[i + 1]].astype(np.uint32).tobytes() for i in range(len(b))]
-            yield pa.record_batch([pa.array(ids, pa.binary()), pa.array([d.tobytes() for d in dense], pa.binary()), b.column(1), b.column(2)], ["words", "dense", "q", "t"])
+            yield pa.record_batch([pa.array(ids, pa.binary()), pa.array([d.tobytes() for d in dense], pa.binary()), b.column(1), b.column(2)], ["words", "dense", "y0", "y1"])
 
-    sample = docs.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("label_id")).select("text", "q", "t")  # few: bounded by max_train
-    got = sample.mapInArrow(take, "words binary, dense binary, q double, t double").orderBy("words", "dense", "q", "t").toArrow().to_pylist()
-    return Model([(np.frombuffer(r["words"], np.uint32), np.frombuffer(r["dense"], np.float32), None if r["q"] is None else 1 - r["q"], r["t"]) for r in got])
+    pick = docs.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("label_id")).select("text", (1 - F.col("q")).alias("y0"), F.col("t").alias("y1"))  # few: bounded by max_train
+    sample = cut(pick.mapInArrow(take, "words binary, dense binary, y0 double, y1 double"))
+    total = sample.agg(*(f(f"y{k}").alias(f"{n}{k}") for k in range(2) for n, f in (("n", F.count), ("s", F.sum)))).first()
+
+    def tally(batches):
+        """Of each id, the sample rows that hold it and those of them in the class, per head."""
+        out = np.zeros((4, 1 << BITS), np.int32)
+        for b in batches:
+            y = [b.column(c).to_numpy(zero_copy_only=False) for c in ("y0", "y1")]
+            for i, w in enumerate(b.column("words").to_pylist()):
+                w = np.frombuffer(w, np.uint32)
+                for k in range(2):
+                    if y[k][i] == y[k][i]:
+                        out[2 * k, w] += 1
+                        out[2 * k + 1, w] += y[k][i] == 1
+        at = np.flatnonzero(out.any(0))
+        yield pa.record_batch([pa.array(at.astype(np.int32)), *(pa.array(r[at]) for r in out)], ["id", "d0", "h0", "d1", "h1"])
+
+    counts = sample.select("words", "y0", "y1").mapInArrow(tally, "id int, d0 int, h0 int, d1 int, h1 int").groupBy("id").agg(*(F.sum(c).cast("double").alias(c) for c in ("d0", "h0", "d1", "h1")))
+    best = []
+    for k in range(2):
+        n, rate = total[f"n{k}"], (total[f"s{k}"] or 0.0) / max(total[f"n{k}"], 1)
+        df, hit = F.col(f"d{k}"), F.col(f"h{k}")
+        chi2 = (hit - df * rate) ** 2 / F.greatest(df * rate * (1 - rate) * (1 - df / max(n, 1)), F.lit(1e-9))
+        top = counts.where((df >= 5) & (df <= n - 5)).select("id", chi2.alias("x")).where(F.col("x") >= min_chi2).orderBy(F.desc("x"), "id").limit(n_words)
+        best.append(np.sort(top.toArrow()["id"].to_numpy().astype(np.int64)))
+    chosen = np.union1d(*best)
+
+    def narrow(batches):
+        for b in batches:
+            ids = [np.intersect1d(np.frombuffer(w, np.uint32), chosen).astype(np.uint32).tobytes() for w in b.column("words").to_pylist()]
+            yield pa.record_batch([pa.array(ids, pa.binary()), b.column("dense"), b.column("y0"), b.column("y1")], ["ids", "dense", "y0", "y1"])
+
+    got = sample.mapInArrow(narrow, "ids binary, dense binary, y0 double, y1 double").orderBy("ids", "dense", "y0", "y1").toArrow()
+    ids = [np.frombuffer(x, np.uint32) for x in got["ids"].to_pylist()]
+    dense = np.frombuffer(b"".join(got["dense"].to_pylist()), np.float32).reshape(-1, N_DENSE)
+    y = np.stack([got[c].to_numpy() for c in ("y0", "y1")], 1) if len(ids) else np.zeros((0, 2))
+    drop(sample)
+    return Model(best, ids, dense, y)
 
 
 def _score(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
