@@ -60,8 +60,11 @@ def forecast_errors(rows: DataFrame, group: str, model: str = "model") -> DataFr
 
 
 def linear_attribution(rows: DataFrame, weights: dict[str, float], keys: list[str]) -> DataFrame:
-    """Exact attribution of a linear model: weight * (value - mean over rows), one row per key and feature."""
-    mean = rows.agg(*(F.avg(c).alias(f"m_{c}") for c in weights))
+    """Exact attribution of a linear model: weight * (value - mean over rows), one row per key and feature.
+
+    Means are of decimals, so they don't depend on the order in which rows are summed.
+    """
+    mean = rows.agg(*(F.avg(F.col(c).cast("decimal(28,10)")).cast("double").alias(f"m_{c}") for c in weights))
     out = F.array(*(F.struct(F.lit(c).alias("feature"), (F.lit(float(w)) * (F.col(c) - F.col(f"m_{c}"))).alias("contribution")) for c, w in weights.items()))
     return rows.join(F.broadcast(mean)).select(*keys, F.explode(out).alias("a")).select(*keys, "a.feature", "a.contribution")  # mean: one row
 

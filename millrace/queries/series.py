@@ -269,9 +269,9 @@ def g10_importance(spark, d):
     return metrics.importance(_attributions(spark, d)).select("feature", R("importance").alias("importance"))
 
 
-@query(f"WITH {_ATTR}, s AS (SELECT l_orderkey, feature, round(sum(contribution), 6) AS contribution FROM u GROUP BY 1, 2), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY abs(contribution) DESC, feature) AS INT) AS rank FROM s) SELECT l_orderkey, feature, contribution, rank FROM r WHERE rank <= 2")
+@query(f"WITH {_ATTR}, s AS (SELECT l_orderkey, feature, CAST(round(sum(CAST(contribution AS DECIMAL(20, 10))), 6) AS DOUBLE) AS contribution FROM u GROUP BY 1, 2), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY abs(contribution) DESC, feature) AS INT) AS rank FROM s) SELECT l_orderkey, feature, contribution, rank FROM r WHERE rank <= 2")
 def w13_top_drivers(spark, d):
-    s = _attributions(spark, d).groupBy("l_orderkey", "feature").agg(F.round(F.sum("contribution"), 6).alias("contribution"))
+    s = _attributions(spark, d).groupBy("l_orderkey", "feature").agg(F.round(F.sum(F.col("contribution").cast("decimal(20,10)")), 6).cast("double").alias("contribution"))
     return metrics.top_drivers(s, ["l_orderkey"], 2)
 
 
