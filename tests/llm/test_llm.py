@@ -504,3 +504,38 @@ def test_sparse_sites_shrink(spark):
     got = {r["__host"]: r for r in quality.sites(s).collect()}
     assert got["bad"].low_rate > 0.9 and got["big"].low_rate < 0.1 and got["tiny"].low_rate < got["bad"].low_rate
     assert abs(got["tiny"].toxic_rate - got["big"].toxic_rate) < 1e-3
+
+
+def test_batched_scores_equal_single_edit_distances():
+    r = np.random.default_rng(5)
+    left, right = [], []
+    for n in [1, 2, 3, 15, 63, 64, 65, 127, 128, 129, 200, 1030] * 12:
+        a = r.integers(0, int(r.choice([2, 30, 10**6])), n).astype(np.uint64)
+        b = a.tolist()
+        for _ in range(int(r.integers(0, n // 3 + 2))):
+            at, kind = int(r.integers(0, len(b) + 1)), r.integers(3)
+            if kind == 0:
+                b.insert(at, int(r.integers(0, 40)))
+            elif at < len(b) and kind == 1:
+                b[at] = int(r.integers(0, 40))
+            elif at < len(b) and len(b) > 1:
+                b.pop(at)
+        left.append(a)
+        right.append(np.array(b, np.uint64))
+    want = [lines.edit_distance(a.tolist(), b.tolist()) <= lines.allowed(max(len(a), len(b)), 0.75) for a, b in zip(left, right, strict=True)]
+    x, y = (pa.array([v.tobytes() for v in s], pa.binary()) for s in (left, right))
+    assert 0 < sum(want) < len(want)
+    for cells in (64, 1 << 12, 1 << 19):  # slices of one pair and more
+        assert lines.linked(x, y, 0.75, cells).tolist() == want
+    assert lines.linked(x[7:], y[7:], 0.75).tolist() == want[7:]
+    assert lines.linked(x[:0], y[:0], 0.75).tolist() == []
+
+
+def test_folded_sketches_keep_their_bits():
+    r = np.random.default_rng(6)
+    two, n = r.integers(0, 1 << 63, (9, 2)).astype(np.uint64), np.array([3, 40, 41, 0xFFFF, 5, 60, 40, 41, 9], np.uint16)
+    out = lines._unfold(lines._fold(two, n), n)
+    long = n > lines.LONG
+    assert (out[long] == two[long]).all() and (out[~long, 0] == two[~long, 0] ^ two[~long, 1]).all() and not out[~long, 1].any()
+    assert lines._apart(out[2:3], out[3:4], np.array([True]))[0] == np.bitwise_count(two[2] ^ two[3]).sum()
+    assert lines._apart(out[:1], out[3:4], np.array([False]))[0] == np.bitwise_count(two[0, 0] ^ two[0, 1] ^ two[3, 0] ^ two[3, 1])
