@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontam, feistel, jaccard, licenses, lines, mtree, pieces, quality, sharding, suffixes
+from millrace.llm import decontam, feistel, jaccard, kmtree, licenses, lines, mtree, pieces, quality, ranking, sharding, suffixes, whitening
 from millrace.llm.common import table
 
 
@@ -97,5 +97,31 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "lang", "p_low", "p_toxic", "low_rate", "toxic_rate", "keep")
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard, op2_decontamination, op3_topk, op4_licenses, op5_sharding, op6_line_dedup, op7_training_order, op8_pieces, op9_suffix_dedup, op10_quality)}
-ORACLES: dict[str, str] = {"op1_jaccard": _OP1, "op3_topk": _OP3, "op4_licenses": _OP4}
+def op11_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+_OP11 = f"""
+WITH q AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY 1, 2),
+w AS (SELECT doc_id, {_TERMS} AS ts FROM documents), d AS (SELECT doc_id, ts, len(ts)::BIGINT AS n FROM w WHERE len(ts) > 0),
+c AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS total FROM d),
+p AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(ts) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY 1, 2, 3),
+f AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM p, c GROUP BY term, docs),
+s AS (SELECT item_id, doc_id, CAST(sum(qtf * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // total)))) AS BIGINT) AS score
+      FROM q JOIN p USING (term) JOIN f USING (term), c GROUP BY 1, 2),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20
+"""
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=4, scale=256)
+
+
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmtree.nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
+QUERIES = {f.__name__: f for f in (op1_jaccard, op2_decontamination, op3_topk, op4_licenses, op5_sharding, op6_line_dedup, op7_training_order, op8_pieces, op9_suffix_dedup, op10_quality, op11_ranking, op12_whitening, op13_neighbours)}
+ORACLES: dict[str, str] = {"op1_jaccard": _OP1, "op3_topk": _OP3, "op4_licenses": _OP4, "op11_ranking": _OP11}
