@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from fractions import Fraction
+
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+RANGES = 256
+
 
 def classification(rows: DataFrame, by: list[str], threshold: float = 0.5) -> DataFrame:
     """accuracy, precision, recall, f1 (0 where undefined), brier, n, positives, in one pass."""
@@ -16,11 +21,41 @@ def classification(rows: DataFrame, by: list[str], threshold: float = 0.5) -> Da
     return s.select(*by, "n", "positives", "tp", "fp", "fn", "tn", ((F.col("tp") + F.col("tn")) / F.col("n")).alias("accuracy"), "precision", "recall", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")).alias("f1"), "brier")
 
 
+def in_ranges(rows: DataFrame, by: list[str], order: str, ranges: int = RANGES, descending: bool = False) -> DataFrame:
+    """Adds _range: `ranges` consecutive ranges of a number, about equally full over all rows, counted in the order asked for.
+
+    Rows of one value share a range. Their bounds come from one pass of approximate quantiles; any bounds give the same sums.
+    """
+    cuts = rows.agg(F.percentile_approx(F.col(order).cast("double"), [i / ranges for i in range(1, ranges)], 10_000)).first()[0]
+    inner = sorted({c for c in cuts or [] if c == c and abs(c) != float("inf")})
+    if not inner:
+        return rows.withColumn("_range", F.lit(0))
+    cut = Bucketizer(splits=[-float("inf"), *inner, float("inf")], inputCol="_v", outputCol="_range", handleInvalid="keep")
+    out = cut.transform(rows.withColumn("_v", F.col(order).cast("double"))).drop("_v")
+    last = (1 << 31) - 1
+    place = (-F.col("_range") if descending else F.col("_range")).cast("int")
+    return out.withColumn("_range", F.coalesce(place, F.lit(last if descending else -last)))  # nulls stand where an ORDER BY puts them
+
+
+def running(rows: DataFrame, by: list[str], order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """Running sums, rows(by, _range, ...) in `order` within `by`, by ranges: sums maps a new column to the column it adds up, the row
+    itself included; all_<new> is the total. Ranges are added up first (a row a range and group), then carried into each range's own
+    window, so a group of any size is spread over as many tasks as it has ranges."""
+    per = rows.groupBy(*by, "_range").agg(*(F.sum(c).alias(f"_{n}") for n, c in sums.items()))
+    whole = Window.partitionBy(*by)
+    ahead = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = per.select(*by, "_range", *(F.coalesce(F.sum(f"_{n}").over(ahead), F.lit(0)).alias(f"_before_{n}") for n in sums), *(F.sum(f"_{n}").over(whole).alias(f"all_{n}") for n in sums))
+    own = Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.alias("r").join(carried.alias("c"), [F.col(f"r.`{b}`").eqNullSafe(F.col(f"c.`{b}`")) for b in [*by, "_range"]])
+    out = out.select("r.*", *(F.col(f"c.{p}{n}") for n in sums for p in ("_before_", "all_")))
+    return out.withColumns({n: F.col(f"_before_{n}") + F.sum(c).over(own) for n, c in sums.items()}).drop(*(f"_before_{n}" for n in sums), "_range")
+
+
 def _steps(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Cumulative tp, fp per distinct score, high to low, and the totals. Equal scores are folded before the window."""
+    """Cumulative tp, fp per distinct score, high to low, and the totals. Equal scores are folded first."""
     g = rows.groupBy(*by, "p").agg(F.sum("y").cast("long").alias("pos"), F.sum(1 - F.col("y")).cast("long").alias("neg"))
-    w = Window.partitionBy(*by).orderBy(F.desc("p"))
-    return g.withColumns({"tp": F.sum("pos").over(w), "fp": F.sum("neg").over(w), "all_pos": F.sum("pos").over(Window.partitionBy(*by)), "all_neg": F.sum("neg").over(Window.partitionBy(*by))})
+    s = running(in_ranges(g, by, "p", descending=True), by, [F.desc("p")], {"tp": "pos", "fp": "neg"})
+    return s.withColumnsRenamed({"all_tp": "all_pos", "all_fp": "all_neg"})
 
 
 def roc_auc(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -59,14 +94,39 @@ def forecast_errors(rows: DataFrame, group: str, model: str = "model") -> DataFr
     return per.groupBy(model).agg(F.avg("mae").alias("mae"), F.avg("mape").alias("mape"), F.count("*").alias("groups"))
 
 
-def linear_attribution(rows: DataFrame, weights: dict[str, float], keys: list[str]) -> DataFrame:
-    """Exact attribution of a linear model: weight * (value - mean over rows), one row per key and feature.
+def exact_means(rows: DataFrame, columns: list[str]) -> dict[str, float | None]:
+    """The mean of each column's known values, rounded once: no matter how rows are ordered or dealt, at any magnitude.
 
-    Means are of decimals, so they don't depend on the order in which rows are summed.
+    A double is a whole number of at most 55 bits times a power of two; whole numbers are added up by power, in two halves that cannot
+    overflow, and meet as fractions on the driver (some 2,000 powers a column at most). What lies under 2**-1000 is cut off.
     """
-    mean = rows.agg(*(F.avg(F.col(c).cast("decimal(28,10)")).cast("double").alias(f"m_{c}") for c in weights))
-    out = F.array(*(F.struct(F.lit(c).alias("feature"), (F.lit(float(w)) * (F.col(c) - F.col(f"m_{c}"))).alias("contribution")) for c, w in weights.items()))
-    return rows.join(F.broadcast(mean)).select(*keys, F.explode(out).alias("a")).select(*keys, "a.feature", "a.contribution")  # mean: one row
+    x = F.col("x")
+    power = F.greatest(F.floor(F.log2(F.abs(x))) - 54, F.lit(-1000))
+    finite = x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
+    one = rows.select(F.explode(F.array(*(F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("x")) for i, c in enumerate(columns)))).alias("v")).select("v.*").where("x is not null")
+    split = one.select("c", F.when(x == 0, F.lit(0)).when(finite, power).alias("e"), x).withColumn("m", F.when(F.col("e").isNotNull(), (x * F.pow(F.lit(2.0), -(F.col("e") + F.when(F.col("e") < -900, F.lit(100)).otherwise(0))) * F.when(F.col("e") < -900, F.lit(2.0**100)).otherwise(1.0)).cast("long")))
+    sums = split.groupBy("c", "e").agg(F.count("*").alias("n"), F.sum(F.shiftright("m", 28)).alias("high"), F.sum(F.col("m").bitwiseAND((1 << 28) - 1)).alias("low"), F.sum("x").alias("plain")).collect()
+    out: dict[str, float | None] = {}
+    for i, c in enumerate(columns):
+        mine = [r for r in sums if r.c == i]
+        n = sum(r.n for r in mine)
+        if any(r.e is None for r in mine):  # NaN and infinities as in any sum
+            out[c] = sum(r.plain for r in mine) / n
+        else:
+            out[c] = float(sum((Fraction((r.high << 28) + r.low) * Fraction(2) ** r.e for r in mine), Fraction(0)) / n) if n else None
+    return out
+
+
+def contributions(columns: dict[str, float], means: dict[str, float | None]) -> dict[str, Column]:
+    """Exact attribution of a linear model: weight * (value - mean)."""
+    return {c: F.lit(float(w)) * (F.col(c) - F.lit(means[c]).cast("double")) for c, w in columns.items()}
+
+
+def linear_attribution(rows: DataFrame, weights: dict[str, float], keys: list[str]) -> DataFrame:
+    """Exact attribution of a linear model: weight * (value - mean over rows), one row per key and feature."""
+    parts = contributions(weights, exact_means(rows, list(weights)))
+    out = F.array(*(F.struct(F.lit(c).alias("feature"), p.alias("contribution")) for c, p in parts.items()))
+    return rows.select(*keys, F.explode(out).alias("a")).select(*keys, "a.feature", "a.contribution")
 
 
 def top_drivers(attributions: DataFrame, by: list[str], k: int) -> DataFrame:

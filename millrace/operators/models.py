@@ -1,9 +1,11 @@
-"""Learners: estimator factory, synthetic data, calibration, cross-validation folds and scored provenance."""
+"""Learners: estimator factory, synthetic data, calibration, cross-validation and scored provenance."""
 
 from __future__ import annotations
 
 import math
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -13,7 +15,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import vectors as V
+from millrace.operators import metrics
 from millrace.schemas import FEATURES, MIN_REAL_ROWS
+from millrace.shared import cut
 
 
 def data_mode(n: int) -> str:
@@ -26,13 +30,16 @@ def with_indicators(rows: DataFrame, features=FEATURES) -> tuple[DataFrame, list
     return rows.withColumns({**flags, **{c: F.coalesce(V.nan_to_null(F.col(c)), F.lit(0.0)) for c in features}}), [*features, *flags]
 
 
-def estimator(kind: str, columns: list[str], seed: int = 42) -> Pipeline:
-    """'xgboost' and 'lightgbm' name boosted trees with those settings; 'ft' is the perceptron 128-64-32; 'forest', 'logistic'."""
+def estimator(kind: str, columns: list[str], seed: int = 42, rounds: int | None = None) -> Pipeline:
+    """'xgboost' and 'lightgbm' name boosted trees with those settings; 'ft' is the perceptron 128-64-32; 'forest', 'logistic'.
+
+    rounds: boosting rounds or trees, where other than the learner's own.
+    """
     kinds = {
-        "xgboost": lambda: GBTClassifier(maxIter=200, maxDepth=6, stepSize=0.1, subsamplingRate=0.8, weightCol="weight", seed=seed),
-        "lightgbm": lambda: GBTClassifier(maxIter=100, maxDepth=5, stepSize=0.1, seed=seed),
+        "xgboost": lambda: GBTClassifier(maxIter=rounds or 200, maxDepth=6, stepSize=0.1, subsamplingRate=0.8, weightCol="weight", seed=seed),
+        "lightgbm": lambda: GBTClassifier(maxIter=rounds or 100, maxDepth=5, stepSize=0.1, seed=seed),
         "ft": lambda: MultilayerPerceptronClassifier(layers=[len(columns), 128, 64, 32, 2], maxIter=30, seed=seed),
-        "forest": lambda: RandomForestClassifier(numTrees=100, maxDepth=6, seed=seed),
+        "forest": lambda: RandomForestClassifier(numTrees=rounds or 100, maxDepth=6, seed=seed),
         "logistic": lambda: LogisticRegression(maxIter=100, regParam=1e-3),
     }
     if kind not in kinds:
@@ -48,9 +55,17 @@ def weigh(rows: DataFrame) -> DataFrame:
 
 
 def stratified(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
-    """fold 0..k-1, dealt in turn within each label by a hash of the keys: the same folds in any partitioning."""
-    w = Window.partitionBy("label").orderBy(F.xxhash64(*keys), *keys)
-    return rows.withColumn("fold", ((F.row_number().over(w) - 1) % k).cast("int"))
+    """fold 0..k-1, dealt in turn within each label by a hash of the keys: the same folds in any partitioning.
+
+    Ranks come from counts of 65,536 hash ranges a label and the ranks inside them, so no label is sorted in one task.
+    """
+    h = F.xxhash64(*keys)
+    full = rows.withColumns({"_h": h, "_b": F.shiftright(h, 48)})
+    counts = full.groupBy("label", "_b").agg(F.count("*").alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy("label").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rank = F.row_number().over(Window.partitionBy("label", "_b").orderBy("_h", *keys))
+    out = full.join(counts.select("label", "_b", before.alias("_before")), ["label", "_b"]).withColumn("fold", ((F.col("_before") + rank - 1) % k).cast("int"))
+    return out.select(*rows.columns, "fold")
 
 
 def folds_for(rows: DataFrame, most: int = 5) -> int:
@@ -58,6 +73,47 @@ def folds_for(rows: DataFrame, most: int = 5) -> int:
     return int(min(most, r["p"] or 0, (r["n"] or 0) - (r["p"] or 0)))
 
 
+def out_of_fold(rows: DataFrame, kind: str, keys: list[str], most: int = 5, seed: int = 42, features=FEATURES, rounds: int | None = None, parallel: int = 4) -> DataFrame | None:
+    """rows with fold and p, each scored by the learner fitted on the other folds; None where a class has under two rows.
+
+    The folds are one column of one table, written once; `parallel` of them are fitted at a time.
+    """
+    k = folds_for(rows, most)
+    if k < 2:
+        return None
+    full, columns = with_indicators(rows, features)
+    parts = cut(stratified(full, keys, k))
+
+    def one(i: int) -> DataFrame:
+        model = estimator(kind, columns, seed, rounds).fit(weigh(parts.where(F.col("fold") != i)))
+        return model.transform(weigh_one(parts.where(F.col("fold") == i))).select(*rows.columns, "fold", vector_to_array("probability")[1].alias("p"))
+
+    with ThreadPool(min(parallel, k)) as pool:
+        scored = pool.map(inheritable_thread_target(rows.sparkSession)(one), range(k))
+    out = scored[0]
+    for s in scored[1:]:
+        out = out.unionByName(s)
+    return out
+
+
+CV = "model_type string, n long, positives long, pos_rate double, cv_folds int, roc_auc double, accuracy double, brier double, error string"
+
+
+def cross_validate(rows: DataFrame, kind: str, keys: list[str], **options) -> DataFrame:
+    """One row (CV): metrics over all rows' out-of-fold scores together, or the error that a class has too few rows."""
+    scored = out_of_fold(rows, kind, keys, **options)
+    if scored is None:
+        r = rows.agg(F.count("*"), F.sum("label")).first()
+        n, pos = r[0], int(r[1] or 0)
+        return rows.sparkSession.createDataFrame([(kind, n, pos, None, None, None, None, None, f"too few of a class for CV (pos={pos}, neg={n - pos})")], CV)
+    s = cut(scored.select(F.lit(kind).alias("model_type"), F.col("label").cast("int").alias("y"), "p", "fold"))
+    by = ["model_type"]
+    folds = s.groupBy(*by).agg((F.max("fold") + 1).alias("cv_folds"))
+    m = metrics.classification(s, by).join(metrics.roc_auc(s, by), by).join(folds, by)  # a row each
+    r3 = lambda c: F.round(c, 3).alias(c)
+    return m.select("model_type", "n", "positives", F.round(F.col("positives") / F.col("n"), 3).alias("pos_rate"), F.col("cv_folds").cast("int").alias("cv_folds"), r3("roc_auc"), r3("accuracy"), r3("brier"), F.lit(None).cast("string").alias("error"))
+
+
 class Scorer:
     """A fitted learner with optional isotonic calibration and its provenance."""
 
@@ -86,14 +142,14 @@ def weigh_one(rows: DataFrame) -> DataFrame:
     return rows.withColumn("weight", F.lit(1.0))
 
 
-def fit(rows: DataFrame, kind: str, keys: list[str], seed: int = 42, features=FEATURES) -> Scorer:
+def fit(rows: DataFrame, kind: str, keys: list[str], seed: int = 42, features=FEATURES, rounds: int | None = None) -> Scorer:
     """Fits on 70% and calibrates on a stratified 30% where there are 20 rows and both classes; else fits on all, uncalibrated."""
     full, columns = with_indicators(rows, features)
     r = full.agg(F.sum("label").alias("p"), F.count("*").alias("n")).first()
     n, p = r["n"], r["p"] or 0
     split = n >= 20 and 0 < p < n
-    parts = stratified(full, keys, 10) if split else full.withColumn("fold", F.lit(9))
-    model = estimator(kind, columns, seed).fit(weigh(parts.where("fold >= 3")))
+    parts = cut(stratified(full, keys, 10) if split else full.withColumn("fold", F.lit(9)))
+    model = estimator(kind, columns, seed, rounds).fit(weigh(parts.where("fold >= 3")))
     calibrator = None
     if split:
         held = model.transform(weigh_one(parts.where("fold < 3"))).withColumn("iso", vector_to_array("probability")[1]).select("iso", F.col("label").cast("double").alias("label"))

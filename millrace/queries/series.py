@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.functions import times
 from millrace.functions import vectors as V
-from millrace.operators import features, forecast, labels, metrics
+from millrace.operators import attribution, features, forecast, labels, metrics
 from millrace.operators import weekly as W
 from millrace.queries import base as B
 from millrace.queries import query
@@ -260,8 +259,11 @@ def g22_reliability(spark, d):
 _ATTR = "a AS (SELECT l_orderkey, l_linenumber, 0.5 * (l_quantity - avg(l_quantity) OVER ()) AS q, -2.0 * (l_discount - avg(l_discount) OVER ()) AS dd, 3.0 * (l_tax - avg(l_tax) OVER ()) AS t FROM lineitem), u AS (SELECT l_orderkey, l_linenumber, 'l_quantity' AS feature, q AS contribution FROM a UNION ALL SELECT l_orderkey, l_linenumber, 'l_discount', dd FROM a UNION ALL SELECT l_orderkey, l_linenumber, 'l_tax', t FROM a)"
 
 
+_WEIGHTS = {"l_quantity": 0.5, "l_discount": -2.0, "l_tax": 3.0}
+
+
 def _attributions(spark, d):
-    return metrics.linear_attribution(table(spark, d, "lineitem"), {"l_quantity": 0.5, "l_discount": -2.0, "l_tax": 3.0}, ["l_orderkey", "l_linenumber"])
+    return metrics.linear_attribution(table(spark, d, "lineitem"), _WEIGHTS, ["l_orderkey", "l_linenumber"])
 
 
 @query(f"WITH {_ATTR} SELECT feature, round(avg(abs(contribution)), 6) AS importance FROM u GROUP BY 1")
@@ -271,8 +273,11 @@ def g10_importance(spark, d):
 
 @query(f"WITH {_ATTR}, s AS (SELECT l_orderkey, feature, CAST(round(sum(CAST(contribution AS DECIMAL(20, 10))), 6) AS DOUBLE) AS contribution FROM u GROUP BY 1, 2), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY abs(contribution) DESC, feature) AS INT) AS rank FROM s) SELECT l_orderkey, feature, contribution, rank FROM r WHERE rank <= 2")
 def w13_top_drivers(spark, d):
-    s = _attributions(spark, d).groupBy("l_orderkey", "feature").agg(F.round(F.sum(F.col("contribution").cast("decimal(20,10)")), 6).cast("double").alias("contribution"))
-    return metrics.top_drivers(s, ["l_orderkey"], 2)
+    rows, names = table(spark, d, "lineitem"), list(_WEIGHTS)
+    parts = metrics.contributions(_WEIGHTS, metrics.exact_means(rows, names))
+    sums = rows.groupBy("l_orderkey").agg(*(F.round(F.sum(p.cast("decimal(20,10)")), 6).cast("double").alias(c) for c, p in parts.items()))
+    top = attribution.drivers(F.array(*names), names, 2)
+    return sums.select("l_orderkey", F.posexplode(top).alias("i", "t")).select("l_orderkey", "t.feature", "t.contribution", (F.col("i") + 1).alias("rank"))
 
 
 @query("SELECT o_orderpriority AS resource_id, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY o_totalprice), 6) AS median FROM orders GROUP BY 1")
@@ -324,7 +329,7 @@ def d7_period(spark, d):
 
 @query("SELECT event_type, n, day FROM (SELECT event_type, count(*) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n, CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
 def w16_cumulative(spark, d):
-    e, day = table(spark, d, "events"), F.to_date(F.col("ts").cast("timestamp"))
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    x = e.select("event_type", day.alias("day"), F.count("*").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("n"))
+    ts = F.col("ts").cast("timestamp")
+    e = table(spark, d, "events").select("event_type", F.to_date(ts).alias("day"), F.unix_micros(ts).alias("at"), F.lit(1).alias("one"))
+    x = metrics.running(metrics.in_ranges(e, ["event_type"], "at"), ["event_type"], [F.col("at")], {"n": "one"})
     return x.groupBy("event_type", "day").agg(F.max("n").alias("n")).select("event_type", "n", "day")
