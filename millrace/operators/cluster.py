@@ -2,69 +2,39 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import vectors as V
-from millrace.schemas import MIN_RETRIEVAL, NEAR_DUPLICATE
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Restarts the plan from files in the folder that all executors share (spark.checkpoint.dir; a local one only in tests)."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from millrace.graph import connected_components
+from millrace.operators import density
+from millrace.operators.blocks import similar_pairs, usable
+from millrace.schemas import MIN_DENSITY_ROWS, MIN_RETRIEVAL, NEAR_DUPLICATE
+from millrace.shared import cut
 
 
-def similar_pairs(rows: DataFrame, key: str, vector: str, threshold: float = NEAR_DUPLICATE, blocks: int | None = None) -> DataFrame:
-    """(a, b, sim): all pairs with cosine >= threshold, a < b, exact.
+def clusters(rows: DataFrame, key: str, vector: str, threshold: float = NEAR_DUPLICATE, partition_by: str | None = None) -> DataFrame:
+    """(id, component): the smallest key (a long) reachable over cosines >= threshold; with partition_by, only rows of one partition meet.
 
-    Rows are dealt into blocks; block pairs meet by equi-join on the pair's number, so the work splits into blocks*(blocks+1)/2
-    even parts and no side is broadcast. Vectors are normalised once, which leaves one dot product per pair.
+    Rows of one vector (and partition) are one point: their pairs are never listed.
     """
-    spark = rows.sparkSession
-    n = blocks or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    unit = rows.select(F.col(key).alias("id"), V.unit(F.col(vector)).alias("v"), F.pmod(F.hash(F.col(key)), F.lit(n)).alias("blk"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    met = unit.withColumn("o", other)
-    left = met.select("id", "v", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk")
-    x, y = left.where("blk = i").alias("x"), left.where("blk = j").alias("y")
-    near = x.join(y, [F.col("x.i") == F.col("y.i"), F.col("x.j") == F.col("y.j"), (F.col("x.blk") != F.col("y.blk")) | (F.col("x.id") < F.col("y.id"))])
-    out = near.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), V.dot(F.col("x.v"), F.col("y.v")).alias("sim"))
-    return out.where(F.col("sim") >= threshold)
-
-
-def components(ids: DataFrame, edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """(id, component): smallest id reachable, by min-label propagation with pointer jumping; only minima are shuffled."""
-    e = _cut(edges.select("a", "b").union(edges.select("b", "a")).toDF("a", "b").distinct())
-    lab = _cut(ids.select(F.col("id"), F.col("id").alias("component")))
-    for _ in range(max_rounds):
-        near = e.join(lab, e["b"] == lab["id"]).groupBy("a").agg(F.min("component").alias("m"))
-        step = lab.join(near, lab["id"] == near["a"], "left").select("id", F.least("component", "m").alias("component"), F.col("component").alias("old"))
-        jump = step.alias("s").join(step.select(F.col("id").alias("p"), F.col("component").alias("pc")).alias("t"), F.col("s.component") == F.col("t.p")).select("id", F.col("pc").alias("component"), "old")
-        new = _cut(jump)
-        if new.where("component <> old").isEmpty():
-            return new.select("id", "component")
-        lab = new.select("id", "component")
-    raise RuntimeError("components did not settle")
-
-
-def clusters(rows: DataFrame, key: str, vector: str, threshold: float = NEAR_DUPLICATE, partition_by: str | None = None) -> DataFrame:
-    """(id, component) of the threshold graph; with partition_by, only rows of one partition are compared."""
-    ids = rows.select(F.col(key).alias("id"))
-    pairs = similar_pairs(rows, key, vector, threshold)
+    same = F.col(partition_by) if partition_by else F.lit(None).cast("string")
+    live = usable(vector) & F.exists(vector, lambda c: c != 0)
+    ids = cut(rows.select(F.col(key).alias("id"), F.when(live, F.col(vector)).alias("v"), same.alias("p")))
+    heads = cut(ids.where("v is not null").groupBy("v", "p").agg(F.min("id").alias("id")))
+    h = heads.select(F.col("v").alias("hv"), F.col("p").alias("hp"), F.col("id").alias("point"))
+    named = ids.join(h, (F.col("v") == F.col("hv")) & F.col("p").eqNullSafe(F.col("hp")), "left").select("id", F.coalesce("point", "id").alias("point"))
+    pairs = similar_pairs(heads, "id", "v", threshold)
     if partition_by:
-        of = rows.select(F.col(key).alias("k"), F.col(partition_by).alias("p"))
+        of = heads.select(F.col("id").alias("k"), "p")
         pairs = pairs.join(of.toDF("a", "pa"), "a").join(of.toDF("b", "pb"), "b").where("pa <=> pb")
-    return components(ids, pairs)
+    found = connected_components(pairs.select("a", "b"))
+    return named.join(found.toDF("point", "component"), "point", "left").select("id", F.coalesce("component", "point").alias("component"))
+
+
+def cluster_rows(rows: DataFrame, key: str, vector: str, threshold: float = NEAR_DUPLICATE, few: int = MIN_DENSITY_ROWS) -> DataFrame:
+    """(id, component): by the threshold graph under `few` rows, by density from there on."""
+    return clusters(rows, key, vector, threshold) if rows.limit(few).count() < few else density.clusters(rows, key, vector)
 
 
 def canonical(rows: DataFrame, cluster: str, key: str, ts: str, url: str) -> DataFrame:

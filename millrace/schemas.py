@@ -21,6 +21,7 @@ FEATURES = ("price_latest", "price_trend_4w", "price_zscore_8w", "forecast_point
 BASELINE_WEEKS, TREND_WEEKS, MIN_RUN, Z_GATE = 8, 4, 3, 2.0
 MIN_POINTS, DISAGREEMENT_GATE = 12, 25.0
 NEAR_DUPLICATE, MIN_RETRIEVAL, MIN_EMBEDDING_MATCH = 0.83, 0.30, 0.45
+MIN_DENSITY_ROWS = 40
 MIN_REAL_ROWS = 50
 RISK_TIERS = ((0.3, "Safe"), (0.6, "Watch"), (0.8, "Elevated"))
 
