@@ -6,26 +6,17 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import text as X
+from millrace.operators import embedding
+from millrace.operators.dictionary import catalogue, match_terms
+from millrace.operators.fuzzy import Index
 from millrace.schemas import EVENT_TYPES, MIN_EMBEDDING_MATCH
 
 EXACT_CONFIDENCE, FUZZY_THRESHOLD, FUZZY_MIN_LENGTH = 0.99, 88.0, 4
-MAX_CATALOG = 100_000
-
-
-def _small(catalog: DataFrame) -> DataFrame:
-    """A catalog checked to be small enough to ship to every task."""
-    if catalog.limit(MAX_CATALOG + 1).count() > MAX_CATALOG:
-        raise ValueError(f"catalogs hold at most {MAX_CATALOG} terms")
-    return F.broadcast(catalog)
-
-
-def match_terms(docs: DataFrame, text: str, catalog: DataFrame) -> DataFrame:
-    """docs x catalog(term, ...) where the term stands in the text as whole words; the catalog is the broadcast side of the nested loop."""
-    return docs.join(_small(catalog), X.word_match(F.col("term"), F.col(text)))
 
 
 def tag(docs: DataFrame, key: str, text: str, resources: DataFrame, producers: DataFrame) -> DataFrame:
@@ -33,67 +24,76 @@ def tag(docs: DataFrame, key: str, text: str, resources: DataFrame, producers: D
 
     resources(resource_id, term); producers(producer_id, position, term). Documents without a resource are left out.
     """
-    res = match_terms(docs, text, resources).select(key, "resource_id").distinct()
-    prod = match_terms(docs, text, producers).groupBy(key).agg(F.min_by("producer_id", F.struct("position", "producer_id")).alias("producer_id"))
+    res = match_terms(docs, text, resources, [key]).select(key, "resource_id").distinct()
+    prod = match_terms(docs, text, producers, [key]).groupBy(key).agg(F.min_by("producer_id", F.struct("position", "producer_id")).alias("producer_id"))
     return res.join(prod, key, "left")
 
 
+def _order(aliases: DataFrame) -> str:
+    """What stands for catalogue order: `position` where the catalogue has it, else the producer's id."""
+    return "position" if "position" in aliases.columns else "producer_id"
+
+
 def resolve_exact(docs: DataFrame, key: str, text: str, aliases: DataFrame) -> DataFrame:
-    """key, producer_id, confidence, method: the longest alias that matches wins, then the smaller producer id."""
-    hit = match_terms(docs, text, aliases)
-    best = hit.groupBy(key).agg(F.min_by("producer_id", F.struct(-F.length("term"), "producer_id")).alias("producer_id"))
+    """key, producer_id, confidence, method: the longest alias that matches wins, then the first in catalogue order."""
+    hit = match_terms(docs, text, aliases, [key])
+    best = hit.groupBy(key).agg(F.min_by("producer_id", F.struct(-F.length("term"), _order(aliases))).alias("producer_id"))
     return best.select(key, "producer_id", F.lit(EXACT_CONFIDENCE).alias("confidence"), F.lit("exact_alias").alias("method"))
 
 
-def partial_ratio(a: str, b: str) -> float:
-    """Best indel similarity (0-100) of the shorter string with any equally long window of the longer one, edges included."""
-    a, b = (a, b) if len(a) <= len(b) else (b, a)
-    if not a:
-        return 0.0
-    x = np.frombuffer(a.encode("utf-32-le"), np.uint32)
-    n, best = len(x), 0.0
-    padded = np.concatenate([np.zeros(n - 1, np.uint32), np.frombuffer(b.encode("utf-32-le"), np.uint32), np.zeros(n - 1, np.uint32)])
-    win = np.lib.stride_tricks.sliding_window_view(padded, n)
-    size = (win != 0).sum(1)
-    lcs = np.zeros((len(win), n + 1), np.int32)
-    for c in x:  # longest common subsequence with every window at once
-        new = np.zeros_like(lcs)
-        new[:, 1:] = np.maximum(lcs[:, 1:], lcs[:, :-1] + (win == c))
-        lcs = np.maximum.accumulate(new, 1)
-    best = float((200.0 * lcs[:, -1] / (n + size)).max())
-    return best
-
-
-def resolve(docs: DataFrame, key: str, text: str, aliases: DataFrame, embed: Callable[[list[str]], np.ndarray] | None = None, descriptions: dict[str, str] | None = None) -> DataFrame:
-    """Three layers, each fed only with what the one before left open: exact, fuzzy (partial ratio), embedding; then unresolved."""
+_RESOLVED = "producer_id string, confidence double, method string"
+
+
+def resolve(docs: DataFrame, key: str, text: str, aliases: DataFrame, embed: Callable[[list[str]], np.ndarray] | None = None, descriptions: dict[str, str] | None = None, load: Callable[[], Callable] | None = None) -> DataFrame:
+    """Three layers, each fed only with what the one before left open: exact, fuzzy (partial ratio), embedding; then unresolved.
+
+    aliases(producer_id, term, and position for catalogue order). Of equal scores the first in catalogue order wins; descriptions are
+    in that order. `load` makes the embedding model on the executors, once a worker; `embed` is one that is there already. Texts go to it
+    by batch, and where it fails they are unresolved.
+    """
+    spark = docs.sparkSession
     exact = resolve_exact(docs, key, text, aliases)
-    open_ = docs.join(exact.select(key), key, "left_anti")
-    known = [(r["term"].lower(), r["producer_id"]) for r in aliases.where(F.length("term") >= FUZZY_MIN_LENGTH).limit(MAX_CATALOG).collect()]  # bounded catalog
-    names = sorted(descriptions or {})
-    vectors = embed([descriptions[n] for n in names]) if embed and names else None
-
-    @F.pandas_udf("producer_id string, confidence double, method string")
-    def later(texts: pd.Series) -> pd.DataFrame:
-        out = []
-        for t in texts.fillna(""):
-            best = max(((partial_ratio(a, t.lower()), p) for a, p in known), key=lambda r: (r[0], r[1]), default=(0.0, None)) if t else (0.0, None)
-            if best[0] >= FUZZY_THRESHOLD:
-                out.append((best[1], best[0] / 100, "fuzzy"))
-                continue
-            if vectors is not None and t:
-                v = embed([t])[0]
-                d = np.linalg.norm(vectors, axis=1) * np.linalg.norm(v)
-                s = np.where(d > 0, vectors @ v / np.where(d > 0, d, 1), 0)
-                if s.max() >= MIN_EMBEDDING_MATCH:
-                    out.append((names[int(s.argmax())], float(s.max()), "embedding"))
-                    continue
-            out.append((None, 0.0, "unresolved"))
-        return pd.DataFrame(out, columns=["producer_id", "confidence", "method"])
-
-    rest = open_.select(key, later(F.col(text)).alias("r")).select(key, "r.*")
+    open_ = docs.select(key, text).join(exact.select(key), key, "left_anti")
+    known = sorted((r for r in catalogue(aliases) if r.term and len(r.term) >= FUZZY_MIN_LENGTH), key=lambda r: (r[_order(aliases)] is None, r[_order(aliases)], r.term))
+    owners = [r.producer_id for r in known]
+    shared = spark.sparkContext.broadcast(Index([r.term for r in known], FUZZY_THRESHOLD))
+    names = list(descriptions or {})
+    load = load or ((lambda: embed) if embed else None)
+    model = embedding.broadcast(spark, load) if load and names else None
+
+    def run(batches):
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            out: list[tuple] = [(None, 0.0, "unresolved")] * len(texts)
+            left = []
+            for i, t in enumerate(texts):
+                if t and (best := shared.value.best(t)):
+                    out[i] = (owners[best[0]], round(best[1] / 100, 4), "fuzzy")
+                elif t:
+                    left.append(i)
+            if left and model is not None:
+                about = model.value.fixed("descriptions", [descriptions[n] for n in names])
+                if all(v is not None for v in about):
+                    d = np.stack(about)
+                    for i, v in zip(left, model.value.vectors([texts[i] for i in left]), strict=True):
+                        if v is None:
+                            continue
+                        length = np.linalg.norm(d, axis=1) * np.linalg.norm(v)
+                        near = np.where(length > 0, d @ v / np.where(length > 0, length, 1), 0.0)
+                        if near.max() >= MIN_EMBEDDING_MATCH:
+                            out[i] = (names[int(near.argmax())], round(float(near.max()), 4), "embedding")
+            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.float64(), pa.string()), strict=True)] if out else [pa.array([], t) for t in (pa.string(), pa.float64(), pa.string())]
+            yield pa.record_batch([b.column(0), *columns], [key, "producer_id", "confidence", "method"])
+
+    rest = open_.mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, {_RESOLVED}")
     return exact.unionByName(rest)
 
 
+def outcomes(resolved: DataFrame) -> DataFrame:
+    """method, n: how many rows each layer resolved, and how many none did; a method without rows is absent."""
+    return resolved.groupBy("method").agg(F.count("*").alias("n"))
+
+
 def hashed_embedding(texts: list[str], dims: int = 64) -> np.ndarray:
     """Default embed function: signed hashing of character trigrams, L2-normalised. Deterministic, offline."""
     import zlib

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as X
 from millrace.functions import vectors as V
-from millrace.operators import cluster, models, text, views
+from millrace.operators import attribution, cluster, features, models, store, text, views
 from millrace.plans import run as plan
-from millrace.queries import query
+from millrace.queries import base, query, series
 from millrace.session import table
+from millrace.shared import cut, fresh
 
 R = lambda c: F.round(c, 6)
 
@@ -102,11 +107,22 @@ def q5_validate_citations(spark, d):
 # Matching
 
 
-@query("SELECT d.doc_id, t.term FROM documents d, (VALUES ('the'), ('And'), ('of'), ('idiot')) t(term) WHERE d.lang = 'en' AND regexp_matches(d.text, '(?i)\\b' || t.term || '\\b')")
+_WORDS_OF = "w AS MATERIALIZED (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS ws FROM documents)"
+
+
+@query(f"WITH {_WORDS_OF} SELECT doc_id, term FROM w, (VALUES ('the'), ('And'), ('of'), ('idiot'), ('et'), ('und'), ('de')) t(term) WHERE list_contains(ws, lower(term))")
 def j7_term_match(spark, d):
-    docs = table(spark, d, "documents").where("lang = 'en'").select("doc_id", "text")
-    terms = spark.createDataFrame([("the",), ("And",), ("of",), ("idiot",)], "term string")
-    return text.match_terms(docs, "text", terms).select("doc_id", "term")
+    terms = spark.createDataFrame([("the",), ("And",), ("of",), ("idiot",), ("et",), ("und",), ("de",)], "term string")
+    return text.match_terms(table(spark, d, "documents"), "text", terms, ["doc_id"]).select("doc_id", "term")
+
+
+@query("""WITH c AS (SELECT DISTINCT lower(w) AS w FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM benchmark) WHERE length(w) >= 4),
+d AS (SELECT DISTINCT doc_id, lower(w) AS w FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS w FROM documents)) SELECT doc_id, count(*) AS terms FROM d JOIN c USING (w) GROUP BY 1""")
+def j7_large_catalogue(spark, d):
+    """Every longer word of the benchmark as a term, over all documents: the catalogue is one automaton, whatever its size."""
+    w = F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), lambda x: F.lower(x))))
+    terms = table(spark, d, "benchmark").select(w.alias("term")).where(F.length("term") >= 4).distinct()
+    return text.match_terms(table(spark, d, "documents"), "text", terms, ["doc_id"]).groupBy("doc_id").agg(F.count("*").alias("terms"))
 
 
 @query("""WITH p AS (SELECT p_partkey, 'Deal on ' || p_brand || ' goods' AS txt FROM part), c AS (SELECT DISTINCT p_brand AS term FROM part), m AS (SELECT p_partkey, term FROM p, c WHERE regexp_matches(txt, '(?i)\\b' || term || '\\b'))
@@ -117,22 +133,29 @@ def j8_longest_alias(spark, d):
     return text.resolve_exact(part, "p_partkey", "txt", aliases)
 
 
-@query("""WITH d AS (SELECT doc_id, text FROM documents WHERE lang = 'en'), r(resource_id, term) AS (VALUES ('a', 'the'), ('a', 'of'), ('b', 'disgusting')), p(producer_id, position, term) AS (VALUES ('y', 2, 'and'), ('x', 1, 'with')),
-m AS (SELECT DISTINCT doc_id, resource_id FROM d, r WHERE regexp_matches(text, '(?i)\\b' || term || '\\b')), n AS (SELECT doc_id, min_by(producer_id, (position, producer_id)) AS producer_id FROM d, p WHERE regexp_matches(text, '(?i)\\b' || term || '\\b') GROUP BY 1)
+@query(f"""WITH {_WORDS_OF}, r(resource_id, term) AS (VALUES ('a', 'the'), ('a', 'of'), ('b', 'disgusting'), ('c', 'und')), p(producer_id, position, term) AS (VALUES ('y', 2, 'and'), ('x', 1, 'with'), ('z', 3, 'mit')),
+m AS (SELECT DISTINCT doc_id, resource_id FROM w, r WHERE list_contains(ws, term)), n AS (SELECT doc_id, min_by(producer_id, (position, producer_id)) AS producer_id FROM w, p WHERE list_contains(ws, term) GROUP BY 1)
 SELECT m.doc_id, resource_id, producer_id FROM m LEFT JOIN n USING (doc_id)""")
 def k24_tag(spark, d):
-    docs = table(spark, d, "documents").where("lang = 'en'").select("doc_id", "text")
-    r = spark.createDataFrame([("a", "the"), ("a", "of"), ("b", "disgusting")], "resource_id string, term string")
-    p = spark.createDataFrame([("y", 2, "and"), ("x", 1, "with")], "producer_id string, position int, term string")
-    return text.tag(docs, "doc_id", "text", r, p)
+    r = spark.createDataFrame([("a", "the"), ("a", "of"), ("b", "disgusting"), ("c", "und")], "resource_id string, term string")
+    p = spark.createDataFrame([("y", 2, "and"), ("x", 1, "with"), ("z", 3, "mit")], "producer_id string, position int, term string")
+    return text.tag(table(spark, d, "documents"), "doc_id", "text", r, p)
 
 
-@query()
+@query("""WITH t AS (SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'News from ' || s_name WHEN 1 THEN 'News from ' || left(s_name, 8) || '~' || substr(s_name, 10) ELSE 'Weather' END AS txt, s_name FROM supplier)
+SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'id_' || s_name WHEN 1 THEN 'id_' || s_name END AS producer_id, CASE s_suppkey % 3 WHEN 0 THEN 0.99 WHEN 1 THEN round(2.0 * (length(s_name) - 1) / (2 * length(s_name)), 4) ELSE 0 END AS confidence,
+CASE s_suppkey % 3 WHEN 0 THEN 'exact_alias' WHEN 1 THEN 'fuzzy' ELSE 'unresolved' END AS method FROM t""")
 def k22_resolve(spark, d):
-    names = table(spark, d, "nation")
-    aliases = names.select(F.concat(F.lit("id_"), F.lower("n_name")).alias("producer_id"), F.col("n_name").alias("term"))
-    docs = names.select("n_nationkey", F.when(F.pmod("n_nationkey", F.lit(3)) == 0, F.concat(F.lit("News from "), "n_name")).when(F.pmod("n_nationkey", F.lit(3)) == 1, F.concat(F.lit("News from "), F.substring("n_name", 1, 40), F.lit("x"))).otherwise(F.lit("Weather")).alias("txt"))
-    return text.resolve(docs, "n_nationkey", "txt", aliases, text.hashed_embedding, {"id_weather": "weather report"})
+    """Suppliers named whole, with one character wrong, or not at all; the embedding layer has nothing near."""
+    s, k = table(spark, d, "supplier"), F.pmod("s_suppkey", F.lit(3))
+    aliases = s.select(F.concat(F.lit("id_"), "s_name").alias("producer_id"), F.col("s_name").alias("term"), F.col("s_suppkey").alias("position"))
+    docs = s.select("s_suppkey", F.when(k == 0, F.concat(F.lit("News from "), "s_name")).when(k == 1, F.concat(F.lit("News from "), F.left("s_name", F.lit(8)), F.lit("~"), F.substring("s_name", 10, 100))).otherwise(F.lit("Weather")).alias("txt"))
+    return text.resolve(docs, "s_suppkey", "txt", aliases, text.hashed_embedding, {"id_far": "zzzz qqqq"})
+
+
+@query("SELECT CASE s_suppkey % 3 WHEN 0 THEN 'exact_alias' WHEN 1 THEN 'fuzzy' ELSE 'unresolved' END AS method, count(*) AS n FROM supplier GROUP BY 1")
+def g14_outcomes(spark, d):
+    return text.outcomes(k22_resolve(spark, d))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN o_orderstatus END AS old_producer, CASE WHEN o_custkey % 3 = 0 THEN o_orderstatus END AS new_producer, (CASE WHEN o_custkey % 2 = 0 THEN o_orderstatus END) IS DISTINCT FROM (CASE WHEN o_custkey % 3 = 0 THEN o_orderstatus END) AS changed FROM orders")
@@ -178,12 +201,19 @@ def k20_clusters(spark, d):
     return cluster.clusters(table(spark, d, "embeddings"), "vec_id", "embedding", 0.45)
 
 
-@query("""WITH q AS (SELECT label, min_by(embedding, vec_id) AS v FROM embeddings GROUP BY 1), s AS (SELECT e.label, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.v::DOUBLE[]) AS sim FROM embeddings e JOIN q USING (label) WHERE vec_id % 2 = 0),
+@query("""WITH c AS (SELECT min(vec_id) AS vec_id FROM embeddings GROUP BY embedding), q AS (SELECT label, min_by(embedding, vec_id) AS v FROM embeddings GROUP BY 1),
+s AS (SELECT e.label, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.v::DOUBLE[]) AS sim FROM embeddings e JOIN q USING (label) WHERE vec_id IN (SELECT vec_id FROM c)),
 r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sim DESC, vec_id) AS r FROM s WHERE sim >= 0.3) SELECT label::VARCHAR AS resource_id, CAST(r AS INT) AS rank, vec_id AS signal_id, round(sim, 6) AS similarity FROM r WHERE r <= 5""")
 def k25_retrieve(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("signal_id"), F.col("label").cast("string").alias("resource_id"), "embedding")
     q = e.groupBy("resource_id").agg(F.min_by("embedding", "signal_id").alias("query_vector"))
-    return cluster.retrieve(e, q, e.where("signal_id % 2 = 0").select("signal_id")).withColumn("similarity", R("similarity"))
+    canonical = e.groupBy("embedding").agg(F.min("signal_id").alias("signal_id")).select("signal_id")
+    return cluster.retrieve(e, q, canonical).withColumn("similarity", R("similarity"))
+
+
+@query()
+def k20_density(spark, d):
+    return cluster.cluster_rows(table(spark, d, "embeddings"), "vec_id", "embedding")
 
 
 # Learners and runs
@@ -194,22 +224,109 @@ def a22_synthetic(spark, d):
     return models.synthetic(spark)
 
 
+def _training(spark, d):
+    """The feature rows of every resource and week, labelled by whether the next observed week's price is higher; written once, as
+    learners read them many times. (The curated stand-in of k7 has one class only.)"""
+    after = F.lead("y").over(Window.partitionBy("resource_id").orderBy("week"))
+    rises = base.weekly(spark, d).select("resource_id", F.col("week").alias("week_start"), (after > F.col("y")).cast("int").alias("label"), F.lit("price_derived").alias("source"), F.when(after.isNotNull(), "ok").otherwise("insufficient_data").alias("status"))
+    return cut(features.training_table(rises, series._features(spark, d)))
+
+
+_KEYS = ["resource_id", "week"]
+
+
 @query()
 def k14_fit_predict(spark, d):
-    rows = models.synthetic(spark)
-    return models.fit(rows, "logistic", ["id"]).score(rows).select("id", "label", R("calibrated_probability").alias("calibrated_probability"), "data_mode", "model_type")
+    rows = _training(spark, d)
+    out = models.fit(rows, "lightgbm", _KEYS, rounds=20).score(rows)
+    return out.select(*_KEYS, "label", R("raw_score").alias("raw_score"), R("calibrated_probability").alias("calibrated_probability"), "data_mode", "model_type")
 
 
 @query()
 def k15_perceptron(spark, d):
-    rows = models.synthetic(spark)
-    return models.fit(rows, "ft", ["id"]).score(rows).select("id", "label", "raw_score")
+    rows = _training(spark, d)
+    return models.fit(rows, "ft", _KEYS).score(rows).select(*_KEYS, "label", "raw_score", "calibrated_probability")
 
 
 @query()
 def k19_folds(spark, d):
-    rows = models.synthetic(spark)
-    return models.stratified(rows, ["id"], models.folds_for(rows)).select("id", "label", "fold")
+    return models.cross_validate(_training(spark, d), "lightgbm", _KEYS, rounds=10)
+
+
+@query("""WITH r AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS label FROM orders), n AS (SELECT label, count(*) AS c FROM r GROUP BY 1)
+SELECT label, CAST(f AS INT) AS fold, CAST(c // 5 + CASE WHEN f < c % 5 THEN 1 ELSE 0 END AS BIGINT) AS n FROM n, range(5) t(f)""")
+def k19_fold_sizes(spark, d):
+    rows = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("label"))
+    return models.stratified(rows, ["o_orderkey"], 5).groupBy("label", "fold").agg(F.count("*").alias("n"))
+
+
+@query()
+def k17_predict(spark, d):
+    rows = _training(spark, d)
+    root = fresh(spark, "models")
+    store.save(models.fit(rows, "lightgbm", _KEYS, rounds=20), rows, root, "run-1")
+    return store.predict(spark, root, rows.drop("label", "label_source"))
+
+
+@query()
+def k18_tree_drivers(spark, d):
+    """Top drivers of each resource's latest row, and beside them the features' importance over all rows."""
+    rows = _training(spark, d)
+    root = fresh(spark, "models")
+    store.save(models.fit(rows, "xgboost", _KEYS, rounds=20), rows, root, "run-1")
+    out, names = store.explained(store.load(spark, root, "xgboost"), rows)
+    latest = out.groupBy("resource_id").agg(F.max_by(F.struct("week", "contributions"), F.struct("week", "label_source")).alias("x"))
+    tops = latest.select("resource_id", "x.week", F.posexplode(attribution.drivers(F.col("x.contributions"), names, 5)).alias("i", "t"))
+    return tops.select("resource_id", "week", (F.col("i") + 1).alias("rank"), "t.feature", R("t.contribution").alias("contribution"))
+
+
+# Two small trees over lineitem: (tree, weight, id, feature, threshold, left, right, value); a feature repeats on one path.
+_TREES = [
+    (0, 0.5, 0, 0, 25.0, 1, 2, 0.0), (0, 0.5, 1, 1, 0.05, 3, 4, 0.0), (0, 0.5, 2, 2, 0.04, 5, 6, 0.0), (0, 0.5, 3, -1, 0.0, -1, -1, 1.0), (0, 0.5, 4, -1, 0.0, -1, -1, -0.5), (0, 0.5, 5, -1, 0.0, -1, -1, 0.25), (0, 0.5, 6, -1, 0.0, -1, -1, -1.25),
+    (1, 2.0, 0, 1, 0.03, 1, 2, 0.0), (1, 2.0, 1, 0, 10.0, 3, 4, 0.0), (1, 2.0, 2, -1, 0.0, -1, -1, -0.75), (1, 2.0, 3, -1, 0.0, -1, -1, 0.5), (1, 2.0, 4, 1, 0.01, 5, 6, 0.0), (1, 2.0, 5, -1, 0.0, -1, -1, 0.125), (1, 2.0, 6, -1, 0.0, -1, -1, -0.375),
+]
+_COLUMNS = ["l_quantity", "l_discount", "l_tax"]
+
+
+def _subsets_sql() -> str:
+    """Shapley values by the sum over all subsets, each tree's expectation walked node by node."""
+    nodes = {(t, i): r for t, _, i, *_ in _TREES for r in _TREES if r[0] == t and r[2] == i}
+    counts = {}
+
+    def count(t: int, i: int, path: str) -> None:
+        counts[t, i] = f"CAST(count(*) FILTER ({path}) AS DOUBLE) AS c{t}_{i}"
+        _, _, _, f, at, left, right, _ = nodes[t, i]
+        if left >= 0:
+            count(t, left, f"{path} AND {_COLUMNS[f]} <= {at}")
+            count(t, right, f"{path} AND NOT {_COLUMNS[f]} <= {at}")
+
+    def walk(t: int, i: int, known: frozenset) -> str:
+        _, _, _, f, at, left, right, value = nodes[t, i]
+        if left < 0:
+            return str(value)
+        a, b = walk(t, left, known), walk(t, right, known)
+        return f"CASE WHEN {_COLUMNS[f]} <= {at} THEN {a} ELSE {b} END" if f in known else f"(({a}) * c{t}_{left} + ({b}) * c{t}_{right}) / c{t}_{i}"
+
+    roots = {t: w for t, w, *_ in _TREES}
+    for t in roots:
+        count(t, 0, "true")
+    of = lambda s: " + ".join(f"{w} * ({walk(t, 0, frozenset(s))})" for t, w in roots.items())
+    n = len(_COLUMNS)
+    parts = []
+    for i, c in enumerate(_COLUMNS):
+        rest = [j for j in range(n) if j != i]
+        sets = [s for k in range(n) for s in itertools.combinations(rest, k)]
+        w = lambda s: math.factorial(len(s)) * math.factorial(n - 1 - len(s)) / math.factorial(n)
+        parts.append("round(" + " + ".join(f"{w(s)} * (({of((*s, i))}) - ({of(s)}))" for s in sets) + f", 6) AS {c.removeprefix('l_')}")
+    return f"WITH c AS (SELECT {', '.join(counts.values())} FROM lineitem) SELECT l_orderkey, l_linenumber, {', '.join(parts)}, round({of(())}, 6) AS base FROM lineitem, c"
+
+
+@query(_subsets_sql())
+def k18_tree_attribution(spark, d):
+    nodes = spark.createDataFrame(_TREES, "tree int, weight double, id int, feature int, threshold double, left int, right int, value double")
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.array(*_COLUMNS).alias("x"))
+    out = attribution.attribute(rows, "x", attribution.measured_cover(rows, "x", nodes), _COLUMNS)
+    return out.select("l_orderkey", "l_linenumber", *(R(F.col("contributions")[i]).alias(c.removeprefix("l_")) for i, c in enumerate(_COLUMNS)), R("base").alias("base"))
 
 
 @query("SELECT CASE WHEN count(*) >= 50 THEN 'real' ELSE 'synthetic_validation' END AS data_mode, count(*) AS n FROM labels")
