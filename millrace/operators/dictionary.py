@@ -7,6 +7,9 @@ task; the automaton is built once a Python worker. Null and empty terms match no
 
 from __future__ import annotations
 
+import functools
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,22 +18,24 @@ from pyspark.sql import functions as F
 MAX_TERMS, MAX_CHARS = 100_000, 16_000_000
 
 
-class _Fold(dict):
-    """Case folding of single characters that keeps every text's length."""
-
-    def __missing__(self, code: int) -> int:
-        c = chr(code)
-        up = c.upper()
-        low = (up if len(up) == 1 else c).lower()
-        self[code] = ord(low) if len(low) == 1 else code
-        return self[code]
+def _one(c: str) -> str:
+    """Case folding of one character to one character."""
+    if c == "İ":
+        return "i"
+    up = c.upper()
+    low = (up if len(up) == 1 else c).lower()
+    return low if len(low) == 1 else c
 
 
-_fold = _Fold()
+@functools.cache
+def _odd() -> re.Pattern:
+    """Characters that lower() alone would not fold so, or not by themselves."""
+    return re.compile("[Σ" + re.escape("".join(c for c in map(chr, range(128, 0x1F000)) if c.lower() != _one(c))) + "]")
 
 
 def folded(s: str) -> str:
-    return s.translate(_fold)
+    """s in one case, as long as it was."""
+    return s.lower() if s.isascii() else _odd().sub(lambda m: _one(m[0]), s).lower()
 
 
 def _word(c: str) -> bool:

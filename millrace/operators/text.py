@@ -24,9 +24,10 @@ def tag(docs: DataFrame, key: str, text: str, resources: DataFrame, producers: D
 
     resources(resource_id, term); producers(producer_id, position, term). Documents without a resource are left out.
     """
-    res = match_terms(docs, text, resources, [key]).select(key, "resource_id").distinct()
-    prod = match_terms(docs, text, producers, [key]).groupBy(key).agg(F.min_by("producer_id", F.struct("position", "producer_id")).alias("producer_id"))
-    return res.join(prod, key, "left")
+    both = resources.select("resource_id", "term").unionByName(producers.select("producer_id", "position", "term"), allowMissingColumns=True)
+    found = match_terms(docs, text, both, [key]).groupBy(key).agg(  # one pass over the texts; at most the catalogue's resources a document
+        F.collect_set("resource_id").alias("resources"), F.min_by("producer_id", F.when(F.col("producer_id").isNotNull(), F.struct("position", "producer_id"))).alias("producer_id"))
+    return found.select(key, F.explode("resources").alias("resource_id"), "producer_id")
 
 
 def _order(aliases: DataFrame) -> str:

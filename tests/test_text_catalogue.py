@@ -23,6 +23,11 @@ def test_terms_match_as_a_regex_does(spark):
     assert whole.columns == ["id", "t", "extra", "n", "term"] and whole.count() == len(want)
 
 
+def test_folding_keeps_every_length():
+    odd = "ΑΣ Σς İıI ſ K µμ ß ẞ ŉ ǅ Ａ Åå"
+    assert len(dictionary.folded(odd)) == len(odd) and dictionary.folded(odd) == "".join(map(dictionary._one, odd)) == dictionary.folded(dictionary.folded(odd))
+
+
 def test_large_catalogue_in_one_pass(spark):
     docs = spark.range(300).select("id", F.concat(F.lit("about item"), F.col("id").cast("string"), F.lit(" and item7.")).alias("t"))
     terms = spark.range(100_000).select(F.concat(F.lit("item"), F.col("id").cast("string")).alias("term"), "id").withColumnRenamed("id", "n")
