@@ -29,6 +29,94 @@ def trend(weekly: DataFrame, key: str = "resource_id") -> DataFrame:
     return rows.select(key, "h.horizon", "n", point.alias("point"), (point - Z90 * F.col("sigma")).alias("lower"), (point + Z90 * F.col("sigma")).alias("upper"))
 
 
+CHANGES, EARLY, SCALE = 25, 0.8, 0.05  # changepoints, the share of the history they lie in, the scale of slope changes
+
+
+def lasso(g: np.ndarray, c: np.ndarray, penalty: float, start: np.ndarray | None = None) -> np.ndarray:
+    """The b that minimises b'gb / 2 - c'b + penalty * |b|_1, by search over signs: each step is one linear solve, the end is exact."""
+    b = np.zeros(len(c)) if start is None else start.copy()
+    sign = np.sign(b)
+    for _ in range(50 * len(c) + 50):
+        slope = g @ b - c
+        on = np.flatnonzero(sign)
+        if not len(on) or np.abs(slope[on] + penalty * sign[on]).max() < 1e-10 * (1 + penalty):  # at rest: who else has to move?
+            off = np.flatnonzero(sign == 0)
+            over = np.abs(slope[off]) - penalty
+            if not len(off) or over.max() <= 1e-10 * (1 + penalty):
+                return b
+            j = off[over.argmax()]
+            sign[j] = -np.sign(slope[j])
+            on = np.flatnonzero(sign)
+        aim = np.zeros(len(c))
+        aim[on] = np.linalg.lstsq(g[np.ix_(on, on)], c[on] - penalty * sign[on], rcond=None)[0]
+        turned = on[aim[on] * sign[on] < 0]
+        share = np.append(b[turned] / (b[turned] - aim[turned]), 1.0)  # how far until one reaches 0
+        first = share.argmin()
+        b = b + share[first] * (aim - b)
+        if first < len(turned):
+            b[turned[first]] = 0.0
+        sign = np.where(b == 0, 0.0, np.sign(b))
+    return b
+
+
+class PiecewiseTrend:
+    """A line whose slope may change at points fixed in advance, at a price for every change: the mode of a model with normal errors
+    and Laplace slope changes of scale SCALE, on a time axis of length 1 and values scaled by their largest. The error's variance and
+    the changes are fitted in turn, which only lowers the objective."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray):
+        self.x0, self.span = x[0], x[-1] - x[0]
+        self.unit = np.abs(y).max() or 1.0
+        t, v = (x - self.x0) / self.span, y / self.unit
+        early = int(np.floor(len(x) * EARLY))
+        self.at = t[np.unique(np.linspace(0, early - 1, min(CHANGES, max(0, early - 1)) + 1).round().astype(int))[1:]] if early > 1 else t[:0]
+        line = np.stack([np.ones_like(t), t], 1)
+        q = np.linalg.qr(line)[0]
+        h = np.maximum(t[:, None] - self.at, 0)
+        rest, own = h - q @ (q.T @ h), v - q @ (q.T @ v)
+        g, c = rest.T @ rest, rest.T @ own
+        self.change = np.zeros(len(self.at))
+        self.variance = max(float(own @ own) / len(v), 1e-10)
+        for _ in range(200):
+            self.penalty = self.variance / SCALE
+            self.change = lasso(g, c, self.penalty, self.change)
+            left = own - rest @ self.change
+            now = max(float(left @ left) / len(v), 1e-10)
+            done = abs(now - self.variance) <= 1e-9 * self.variance
+            self.variance = now
+            if done:
+                break
+        self.level, self.slope = np.linalg.lstsq(line, v - h @ self.change, rcond=None)[0]
+
+    def at_week(self, x: float) -> tuple[float, float]:
+        """Point, and the deviation of what may come: error, and slope changes as many and as large as those seen."""
+        t = (x - self.x0) / self.span
+        point = self.level + self.slope * t + float(np.maximum(t - self.at, 0) @ self.change)
+        size = float(np.abs(self.change).mean()) if len(self.change) else 0.0
+        ahead = max(0.0, t - 1.0)
+        return point * self.unit, float(np.sqrt(self.variance + len(self.at) * 2 * size**2 * ahead**3 / 3)) * self.unit
+
+
+def changepoint_trend(weekly: DataFrame, key: str = "resource_id") -> DataFrame:
+    """The columns of `trend` from a trend whose slope may change; weeks count by the calendar. NULL under three weeks.
+
+    The band is normal, of 80%; a series is at most a few thousand weeks, so it fits a task, which takes many of them in turn.
+    """
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.dropna(subset=["y"]).sort_values("week")
+        out = {h: (None, None) for h in HORIZONS}
+        if len(pdf) > 2:
+            x = np.array([d.toordinal() / 7 for d in pdf.week])
+            model = PiecewiseTrend(x, pdf.y.to_numpy(float))
+            out = {h: model.at_week(x[-1] + w) for h, w in HORIZONS.items()}
+        rows = [(h, len(pdf), p, None if p is None else p - Z90 * s, None if p is None else p + Z90 * s) for h, (p, s) in out.items()]
+        return pd.DataFrame(rows, columns=["horizon", "n", "point", "lower", "upper"])
+
+    kind = dict(weekly.dtypes)[key]
+    run = lambda name, pdf: fit(pdf).assign(**{key: name[0]})[[key, "horizon", "n", "point", "lower", "upper"]]
+    return weekly.select(key, "week", "y").groupBy(key).applyInPandas(run, f"`{key}` {kind}, horizon string, n long, point double, lower double, upper double")
+
+
 def holt_fit(y: np.ndarray, steps: int, grid: int = 12) -> np.ndarray:
     """Holt's additive trend; both weights by squared one-step error on a grid, all grid points at once, then one refinement."""
     def run(a, b):
@@ -74,11 +162,11 @@ def external(weekly: DataFrame, fn: Callable[[pd.DataFrame, dict[str, int]], dic
     return weekly.select(key, "week", "y").groupBy(key).applyInPandas(fit, f"{key} string, horizon string, {name} double")
 
 
-def forecast_rows(weekly: DataFrame, second: DataFrame, third: DataFrame | None = None, key: str = "resource_id") -> DataFrame:
-    """The status machine: short series give one sentinel row (horizon 'all'), a missing model gives model_error, wide disagreement is flagged."""
+def forecast_rows(weekly: DataFrame, second: DataFrame, third: DataFrame | None = None, key: str = "resource_id", first: Callable[[DataFrame, str], DataFrame] = trend) -> DataFrame:
+    """The status machine (first: `trend` or `changepoint_trend`): short series give one sentinel row (horizon 'all'), a missing model gives model_error, wide disagreement is flagged."""
     count = weekly.groupBy(key).agg(F.count("y").alias("n"))
     short = count.where(F.col("n") < MIN_POINTS).select(key, F.lit("all").alias("horizon"), *(F.lit(None).cast("double").alias(c) for c in ("prophet_point", "prophet_lower", "prophet_upper", "holt_winters_point", "chronos_point", "disagreement_pct")), F.lit("insufficient_data").alias("status"), F.format_string(f"%d weekly points < {MIN_POINTS}", "n").alias("notes"))
-    t = trend(weekly, key).where(F.col("n") >= MIN_POINTS).join(second, [key, "horizon"], "left")
+    t = first(weekly, key).where(F.col("n") >= MIN_POINTS).join(second, [key, "horizon"], "left")
     t = t.join(third, [key, "horizon"], "left") if third is not None else t.withColumn("chronos_point", F.lit(None).cast("double"))
     d = V.disagreement(F.col("point"), F.col("holt_winters_point"))
     c = V.disagreement(F.col("point"), F.col("chronos_point"))

@@ -10,6 +10,7 @@ from millrace.operators import attribution, features, forecast, labels, metrics
 from millrace.operators import weekly as W
 from millrace.queries import base as B
 from millrace.queries import query
+from millrace.schemas import HORIZONS
 from millrace.session import table
 
 R = lambda c: F.round(c, 6)
@@ -198,10 +199,28 @@ def k4_holt(spark, d):
     return forecast.holt(B.weekly(spark, d))
 
 
+@query()
+def k3_changepoint_forecast(spark, d):
+    t = forecast.changepoint_trend(B.weekly(spark, d))
+    return t.select("resource_id", "horizon", "n", *(F.round(c, 4).alias(c) for c in ("point", "lower", "upper")))
+
+
 @query()
 def k6_forecast_rows(spark, d):
     w = B.weekly(spark, d)
-    return forecast.forecast_rows(w, forecast.holt(w))
+    return forecast.forecast_rows(w, forecast.holt(w), first=forecast.changepoint_trend)
+
+
+@query(f"""WITH {_LINE}, flat AS (SELECT resource_id, max_by(y, week) AS last FROM weekly GROUP BY 1), d AS (SELECT l.resource_id, l.horizon, n, point, last, point - 1.2815515655446004 * s AS lower, point + 1.2815515655446004 * s AS upper,
+round(abs(point - last) / greatest(abs(point), abs(last), 1e-9) * 100, 2) AS dis FROM line l JOIN flat USING (resource_id))
+SELECT resource_id, CASE WHEN n < 12 THEN 'all' ELSE horizon END AS horizon, CASE WHEN n >= 12 THEN round(point, 4) END AS prophet_point, CASE WHEN n >= 12 THEN round(last, 4) END AS holt_winters_point, CASE WHEN n >= 12 THEN dis END AS disagreement_pct,
+CASE WHEN n < 12 THEN 'insufficient_data' WHEN dis > 25 THEN 'unstable_disagreement' ELSE 'ok' END AS status FROM d WHERE n >= 12 OR horizon = '2w'""")
+def k6_status_rows(spark, d):
+    """The status machine over the straight line, and the last price as the second model."""
+    w = B.weekly(spark, d)
+    last = w.groupBy("resource_id").agg(F.max_by("y", "week").alias("holt_winters_point")).withColumn("h", F.explode(forecast.horizons())).select("resource_id", "h.horizon", "holt_winters_point")
+    r4 = lambda c: F.round(c, 4).alias(c)
+    return forecast.forecast_rows(w, last).select("resource_id", "horizon", r4("prophet_point"), r4("holt_winters_point"), "disagreement_pct", "status")
 
 
 @query(f"WITH {B.WEEKLY} SELECT resource_id, week, CASE WHEN row_number() OVER (PARTITION BY resource_id ORDER BY week DESC) <= 8 THEN 'test' ELSE 'train' END AS part FROM weekly")
@@ -218,6 +237,22 @@ def k31_forecast_bench(spark, d):
     return e.select("model", R("mae").alias("mae"), R("mape").alias("mape"), "groups")
 
 
+@query()
+def k31_trend_bench(spark, d):
+    """Hold-out errors of the trends, Holt's and the last price at the horizons that the hold-out reaches."""
+    h = forecast.holdout(B.weekly(spark, d))
+    train = h.where("part = 'train'").drop("part")
+    ends = train.groupBy("resource_id").agg(F.max("week").alias("end"), F.max_by("y", "week").alias("naive"))
+    test = h.where("part = 'test'").join(ends, "resource_id").select("resource_id", F.round(F.datediff("week", "end") / 7).cast("int").alias("weeks"), F.col("y").alias("actual"), "naive")
+    points = forecast.trend(train).select("resource_id", "horizon", F.lit("line").alias("model"), "point")
+    points = points.unionByName(forecast.changepoint_trend(train).select("resource_id", "horizon", F.lit("changepoints").alias("model"), "point"))
+    points = points.unionByName(forecast.holt(train).select("resource_id", "horizon", F.lit("holt").alias("model"), F.col("holt_winters_point").alias("point")))
+    weeks = F.element_at(F.create_map(*(F.lit(x) for kv in HORIZONS.items() for x in kv)), F.col("horizon"))
+    met = points.withColumn("weeks", weeks).join(test, ["resource_id", "weeks"]).select("resource_id", "model", "actual", F.col("point").alias("predicted"))
+    met = met.unionByName(test.where(F.col("weeks").isin(*HORIZONS.values())).select("resource_id", F.lit("naive").alias("model"), "actual", F.col("naive").alias("predicted")))
+    return metrics.forecast_errors(met, "resource_id").select("model", R("mae").alias("mae"), R("mape").alias("mape"), "groups")
+
+
 _SCORES = "s AS (SELECT l_returnflag AS model, CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS y, (l_quantity + 1) / 64 AS p FROM lineitem)"
 
 
