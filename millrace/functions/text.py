@@ -64,3 +64,8 @@ def or_query(terms: Column) -> Column:
 def extract_json_object(s: Column) -> Column:
     """The outermost {...} of a model's answer, code fences or prose around it ignored; NULL without one."""
     return blank_to_null(F.regexp_extract(s, r"(?s)(\{.*\})", 1))
+
+
+def to_json(**fields: Column) -> Column:
+    """A JSON object for persistence, keys in the order given; unknown values are kept as null."""
+    return F.to_json(F.struct(*(c.alias(k) for k, c in fields.items())), {"ignoreNullFields": "false"})

@@ -41,3 +41,13 @@ def period_to_date(p: Column) -> Column:
     """'2024M12' -> 2024-12-01; anything else NULL."""
     ok = p.rlike("^[0-9]{4}M(0[1-9]|1[0-2])$")
     return F.when(ok, F.make_date(F.substring(p, 1, 4).cast("int"), F.substring(p, 6, 2).try_cast("int"), F.lit(1)))
+
+
+def is_weekday(ts: Column) -> Column:
+    """Monday to Friday; NULL for NULL."""
+    return ~F.dayofweek(ts).isin(1, 7)
+
+
+def utc_now() -> Column:
+    """This moment as an ISO stamp in UTC, for rows that say when they were written; the same all over one query."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")

@@ -137,3 +137,8 @@ def top_drivers(attributions: DataFrame, by: list[str], k: int) -> DataFrame:
 
 def importance(attributions: DataFrame) -> DataFrame:
     return attributions.groupBy("feature").agg(F.avg(F.abs("contribution")).alias("importance"))
+
+
+def top_importances(importances: DataFrame, k: int = 6, above: float = 1e-6) -> DataFrame:
+    """The k features of highest importance over `above`, equal ones by name."""
+    return importances.where(F.col("importance") > above).orderBy(F.desc("importance"), "feature").limit(k)

@@ -194,3 +194,67 @@ def extract(rows: DataFrame, generate: Callable[[str], str | None], prompt: Colu
     return raw.withColumn("v", validate_extraction(F.col("raw"))).select("signal_id", "raw", "v.*")
 
 
+# Error codes of the judgment contract.
+JUDGMENT_ERRORS = ("no_llm_provider", "llm_call_failed", "unparseable_llm_output", "non_numeric_probability", "probability_out_of_range")
+
+
+def validate_judgment(raw: Column) -> Column:
+    """struct(error, probability, rationale) of a model's raw answer: NULL answers, what holds no such object, what is no number and what
+    lies outside [0, 1] have their codes; numbers in quotes count, and so do true and false, as 1 and 0."""
+    v = F.try_parse_json(X.extract_json_object(raw))
+    kind = F.schema_of_variant(F.try_variant_get(v, "$.tightening_probability", "variant"))
+    text_ = F.trim(F.try_variant_get(v, "$.tightening_probability", "string"))
+    p = F.when(kind == "BOOLEAN", F.try_variant_get(v, "$.tightening_probability", "boolean").cast("double")).when(kind.rlike("^(STRING|BIGINT|DOUBLE|DECIMAL.*)$"), text_.try_cast("double"))
+    error = (
+        F.when(raw.isNull(), JUDGMENT_ERRORS[1]).when(v.isNull() | kind.isNull(), JUDGMENT_ERRORS[2])
+        .when(p.isNull(), JUDGMENT_ERRORS[3]).when(F.isnan(p) | ~p.between(0, 1), JUDGMENT_ERRORS[4]))
+    return F.struct(error.alias("error"), F.when(error.isNull(), p).alias("probability"), F.when(error.isNull(), F.trim(F.coalesce(F.try_variant_get(v, "$.rationale", "string"), F.lit("")))).alias("rationale"))
+
+
+def first_answer(providers: list[tuple[str, Callable[[str], str | None]]]) -> Callable[[str], tuple[str | None, str | None]]:
+    """Asks injected models in order until one answers: (answer, its name), or (None, None). One that fails counts as silent."""
+    def ask(prompt: str) -> tuple[str | None, str | None]:
+        for name, fn in providers:
+            try:
+                answer = fn(prompt)
+            except Exception:  # noqa: BLE001  whatever an injected client throws
+                answer = None
+            if answer:
+                return answer, name
+        return None, None
+
+    return ask
+
+
+def rotating(keys: list, fn: Callable[[object, str], str | None]) -> Callable[[str], str | None]:
+    """One model behind several keys: a key that fails gives way to the next, and the one that worked is asked first from then on."""
+    order = list(keys)
+
+    def ask(prompt: str) -> str | None:
+        for key in list(order):
+            try:
+                return fn(key, prompt)
+            except Exception:  # noqa: BLE001
+                order.append(order.pop(0))
+        return None
+
+    return ask
+
+
+def judge(prompts: DataFrame, key: str, providers: list[tuple[str, Callable[[str], str | None]]]) -> DataFrame:
+    """prompts(key, prompt) -> key, probability, rationale, provider, error, and that this is no calibrated model."""
+    none = F.lit(None).cast("string")
+    if not providers:
+        got = prompts.select(key, none.alias("raw"), none.alias("provider"))
+        verdict = F.struct(F.lit(JUDGMENT_ERRORS[0]).alias("error"), F.lit(None).cast("double").alias("probability"), none.alias("rationale"))
+    else:
+        ask = first_answer(providers)
+
+        def run(batches):
+            for b in batches:
+                out = [ask(p) for p in b.column(1).to_pylist()]
+                yield pa.record_batch([b.column(0), pa.array([r for r, _ in out], pa.string()), pa.array([n for _, n in out], pa.string())], [key, "raw", "provider"])
+
+        got = prompts.select(key, "prompt").mapInArrow(run, f"`{key}` {dict(prompts.dtypes)[key]}, raw string, provider string")
+        verdict = validate_judgment(F.col("raw"))
+    return got.withColumn("v", verdict).select(key, F.col("v.probability").alias("tightening_probability"), "v.rationale", "provider", "v.error", F.lit("llm_reasoner").alias("method"), F.lit(False).alias("is_calibrated"), F.lit(False).alias("is_real_data_model"))

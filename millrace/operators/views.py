@@ -47,6 +47,22 @@ def detail(resources: DataFrame, prices: DataFrame, forecasts: DataFrame, episod
     return resources.join(ph, "resource_id", "left").join(fb, "resource_id", "left").join(ep, "resource_id", "left")
 
 
+def with_list(rows: DataFrame, many: DataFrame, key: str, column: str) -> DataFrame:
+    """rows with the sorted distinct values of many's column under their key; an empty array where there are none."""
+    per = many.where(F.col(column).isNotNull()).groupBy(key).agg(F.sort_array(F.collect_set(column)).alias(column))  # distinct values of a key
+    kind = dict(many.dtypes)[column]
+    return rows.join(per, key, "left").withColumn(column, F.coalesce(column, F.array().cast(f"array<{kind}>")))
+
+
+def all_resources(resources: DataFrame) -> DataFrame:
+    return resources.select("resource_id", F.coalesce("name", "resource_id").alias("name")).orderBy("resource_id")
+
+
+def resource_summary(board: DataFrame, resource_id: str) -> DataFrame:
+    """One resource's row of the leaderboard; none for an unknown resource."""
+    return board.where(F.col("resource_id") == resource_id)
+
+
 def historical_context(labels: DataFrame, names: DataFrame) -> DataFrame:
     """Episodes as first and last labelled week per justification, named by it."""
     g = labels.where("label = 1 and source = 'curated_episode'").groupBy("resource_id", "justification").agg(F.min("week_start").alias("start_week"), F.max("week_start").alias("end_week"))

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from millrace.queries import ORACLES, QUERIES, relational, series, textual
+from millrace.queries import ORACLES, QUERIES, outputs, relational, series, textual
 
-__all__ = ["ORACLES", "QUERIES", "relational", "series", "textual"]
+__all__ = ["ORACLES", "QUERIES", "outputs", "relational", "series", "textual"]

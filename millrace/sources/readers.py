@@ -99,25 +99,39 @@ def unify_news(gdelt: DataFrame, newsapi: DataFrame) -> DataFrame:
     return g.unionByName(n)
 
 
-def fetch(keys: DataFrame, fn: Callable[..., Iterable[dict]], ddl: str, retries: int = 3) -> DataFrame:
-    """Rows from an injected client, one call per row of keys, retried; a key that keeps failing gives no rows."""
+def fetch(keys: DataFrame, fn: Callable[..., Iterable[dict]], ddl: str, retries: int = 3, wait: float = 0.0) -> DataFrame:
+    """Rows from an injected client, one call per row of keys, retried after a pause that doubles each time.
+
+    `_key` (JSON) and `_error` come last: a key that keeps failing gives one row of nulls with its error, so nothing is lost in silence.
+    """
+    import json
+    import time
+
     import pandas as pd
 
     def run(batches):
         for b in batches:
             out = []
             for r in b.to_dict("records"):
-                for left in range(retries, 0, -1):
+                key = json.dumps(r, default=str, sort_keys=True)
+                for turn in range(retries):
                     try:
-                        out += [dict(x) for x in fn(**r)]
+                        out += [{**x, "_key": key, "_error": None} for x in fn(**r)]
                         break
-                    except Exception:
-                        if left == 1:
-                            break
+                    except Exception as e:  # noqa: BLE001  whatever an injected client throws
+                        if turn == retries - 1:
+                            out.append({"_key": key, "_error": f"{type(e).__name__}: {e}"})
+                        else:
+                            time.sleep(wait * 2**turn)
             yield pd.DataFrame(out, columns=names)
 
-    names = [f.name for f in _schema(ddl)]
-    return keys.mapInPandas(run, ddl)
+    names = [*(f.name for f in _schema(ddl)), "_key", "_error"]
+    return keys.mapInPandas(run, f"{ddl}, _key string, _error string")
+
+
+def fetched(got: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of a fetch, and the keys that failed with their errors."""
+    return got.where("_error is null").drop("_key", "_error"), got.where("_error is not null").select("_key", "_error")
 
 
 def _schema(ddl: str):
@@ -132,5 +146,7 @@ def csv_or_empty(spark: SparkSession, path: str, ddl: str) -> tuple[DataFrame, b
 
     try:
         return spark.read.option("header", True).schema(ddl).csv(path), True
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], ddl), False
