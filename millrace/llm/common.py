@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextvars
 import gc
 import tempfile
 import uuid
@@ -12,6 +13,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _cuts: dict[str, SparkSession] = {}
+_scope: contextvars.ContextVar[Scope | None] = contextvars.ContextVar("scope", default=None)
+
+
+class Scope:
+    """The cuts made inside a `with` block: `end` deletes them, and no others."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+    def __enter__(self) -> Scope:
+        self._was = _scope.set(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _scope.reset(self._was)
+
+    def end(self, *keep: DataFrame) -> None:
+        kept = {df.cut_path for df in keep}
+        for path in self.paths:
+            if path not in kept:
+                _delete(path)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,11 +50,13 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame, *done: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write df to the shared folder and read it back, so that later plans restart from the files, not from lineage.
 
-    `done` are earlier cuts that nothing but df reads; their files go. What is left goes by `sweep` or when the program ends.
+    `done` are earlier cuts that nothing but df reads; their files go. What is left goes with its `Scope` or when the program ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/millrace/{uuid.uuid4().hex}"
     _cuts[path] = spark
+    if (scope := _scope.get()) is not None:
+        scope.paths.append(path)
     df.write.option("compression", codec).parquet(path)
     drop(*done)
     gc.collect()
@@ -55,16 +79,12 @@ def _delete(path: str) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def sweep(*keep: DataFrame) -> None:
-    """Delete every cut but those in `keep`: for when the results that read them are written."""
-    kept = {df.cut_path for df in keep}
-    for path in [p for p in _cuts if p not in kept]:
+@atexit.register
+def _end() -> None:
+    for path in list(_cuts):
         _delete(path)
 
 
-atexit.register(sweep)
-
-
 def wrapped(docs: DataFrame) -> DataFrame:
     """docs as one column `row`, so that no column of theirs can clash with an operator's own."""
     return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
