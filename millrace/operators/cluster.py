@@ -49,7 +49,10 @@ def memberships(rows: DataFrame, cluster: str, key: str, ts: str, url: str) -> D
 
 
 def retrieve(evidence: DataFrame, queries: DataFrame, canonical_ids: DataFrame, k: int = 5, min_similarity: float = MIN_RETRIEVAL) -> DataFrame:
-    """evidence(signal_id, resource_id, embedding), queries(resource_id, query_vector): top k canonical rows of each resource by cosine."""
+    """evidence(signal_id, resource_id, embedding), queries(resource_id, query_vector): top k canonical rows of each resource by cosine.
+
+    The rank's limit is known to the plan, so tasks cut their rows to k of a resource before these are shuffled (WindowGroupLimit).
+    """
     rows = evidence.join(canonical_ids, "signal_id", "left_semi").join(queries, "resource_id")
     scored = rows.withColumn("similarity", V.cosine(F.col("embedding"), F.col("query_vector"))).where(F.col("similarity") >= min_similarity)
     w = Window.partitionBy("resource_id").orderBy(F.desc("similarity"), "signal_id")

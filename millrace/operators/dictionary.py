@@ -114,3 +114,10 @@ def match_terms(docs: DataFrame, text: str, terms: DataFrame, keep: list[str] |
     hits = docs.select(F.col(text).alias("_text"), *keep).mapInArrow(run, ddl)
     numbered = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"_term_no int, {', '.join(f'`{c}` {t}' for c, t in terms.dtypes)}")
     return hits.join(F.broadcast(numbered), "_term_no").drop("_term_no")  # at most MAX_TERMS rows
+
+
+def exploded(catalog: DataFrame, key: str, name: str, aliases: str, position: str | None = None) -> DataFrame:
+    """(key, term, position) of a catalogue with one row an entity: its name, then its aliases, each spelling once, blanks left out."""
+    every = F.array_distinct(F.filter(F.concat(F.array(name), F.coalesce(aliases, F.array().cast("array<string>"))), lambda t: t.isNotNull() & (F.trim(t) != "")))
+    place = F.col(position) if position else F.lit(None).cast("long")
+    return catalog.select(key, F.explode(every).alias("term"), place.alias("position"))

@@ -157,11 +157,14 @@ def fit(rows: DataFrame, kind: str, keys: list[str], seed: int = 42, features=FE
     return Scorer(model, calibrator, columns, data_mode(n), kind, n)
 
 
-def synthetic(spark: SparkSession, n: int = 300, seed: int = 42) -> DataFrame:
-    """Labelled rows from a documented logistic rule on trend, z, severity and concentration; the same for every partitioning."""
+def synthetic(spark: SparkSession, n: int = 300, seed: int = 42, ids: DataFrame | None = None) -> DataFrame:
+    """Labelled rows from a documented logistic rule on trend, z, severity and concentration; the same for every partitioning.
+
+    One row for each of ids(id), or for 0 to n - 1.
+    """
     u = lambda k: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     normal = lambda k: F.sqrt(-2 * F.log(u(k) + 1e-12)) * F.cos(2 * math.pi * u(k + 50))
-    rows = spark.range(n).withColumns({"price_latest": 100 + 20 * normal(1), "price_trend_4w": 8 * normal(2), "price_zscore_8w": normal(3), "signal_severity_mean_4w": 1 + 9 * u(4), "signal_count_4w": F.floor(20 * u(5)).cast("double"), "hhi_country": u(6)})
+    rows = (spark.range(n) if ids is None else ids.select(F.col("id").cast("long").alias("id"))).withColumns({"price_latest": 100 + 20 * normal(1), "price_trend_4w": 8 * normal(2), "price_zscore_8w": normal(3), "signal_severity_mean_4w": 1 + 9 * u(4), "signal_count_4w": F.floor(20 * u(5)).cast("double"), "hhi_country": u(6)})
     z = 0.15 * F.col("price_trend_4w") + 0.9 * F.col("price_zscore_8w") + 0.3 * (F.col("signal_severity_mean_4w") - 5) + 1.2 * (F.col("hhi_country") - 0.5) - 0.4
     rows = rows.withColumn("label", (u(7) < V.sigmoid(z)).cast("int"))
     for c in FEATURES:

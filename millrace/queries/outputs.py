@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import prompts, times
 from millrace.functions import text as X
-from millrace.operators import cluster, features, metrics, text, views
+from millrace.operators import cluster, dictionary, features, metrics, text, views
 from millrace.queries import query, series, textual
 from millrace.session import table
 
@@ -104,6 +104,13 @@ def o5_top_importances(spark, d):
     return metrics.top_importances(metrics.importance(series._attributions(spark, d)).withColumn("importance", R("importance")), 6, 0.055)
 
 
+@query("""SELECT s_suppkey, unnest(CASE WHEN s_suppkey % 2 = 0 THEN [s_name, 'supplier ' || s_suppkey] ELSE [s_name] END) AS term, CAST(s_nationkey AS BIGINT) AS position FROM supplier""")
+def q9_exploded_catalogue(spark, d):
+    other = F.when(F.pmod("s_suppkey", F.lit(2)) == 0, F.array(F.concat(F.lit("supplier "), F.col("s_suppkey").cast("string")), F.col("s_name"), F.lit(" ")))
+    s = table(spark, d, "supplier").withColumn("aliases", other)
+    return dictionary.exploded(s, "s_suppkey", "s_name", "aliases", "s_nationkey").withColumn("position", F.col("position").cast("long"))
+
+
 @query("SELECT DISTINCT o_orderpriority AS resource_id, o_orderpriority AS name FROM orders ORDER BY 1")
 def v1_all_resources(spark, d):
     from millrace.queries import base

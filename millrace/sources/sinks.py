@@ -74,9 +74,9 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
 
 
-def export_csv(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Small report files for people: one file per partition value."""
-    w = df.coalesce(1).write.mode("overwrite").option("header", True)
+def export_csv(df: DataFrame, path: str, partition_by: list[str] | None = None, most: int = 1_000_000) -> None:
+    """Report files for people: one file per partition value, or as many as there are tasks where the report has over `most` rows."""
+    w = (df.coalesce(1) if df.limit(most + 1).count() <= most else df).write.mode("overwrite").option("header", True)
     (w.partitionBy(*partition_by) if partition_by else w).csv(path)
 
 
