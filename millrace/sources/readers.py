@@ -123,7 +123,7 @@ def fetch(keys: DataFrame, fn: Callable[..., Iterable[dict]], ddl: str, retries:
                             out.append({"_key": key, "_error": f"{type(e).__name__}: {e}"})
                         else:
                             time.sleep(wait * 2**turn)
-            yield pd.DataFrame(out, columns=names)
+            yield pd.DataFrame(out, columns=names, dtype=object)
 
     names = [*(f.name for f in _schema(ddl)), "_key", "_error"]
     return keys.mapInPandas(run, f"{ddl}, _key string, _error string")

@@ -160,8 +160,8 @@ def test_small_tables_use_the_threshold(spark):
 
 
 def test_retrieval_is_cut_before_it_is_shuffled(spark):
-    e = spark.range(50).select(F.col("id").alias("signal_id"), F.lit("r").alias("resource_id"), F.array(F.lit(1.0), F.col("id") / 50).alias("embedding"))
-    q = spark.createDataFrame([("r", [1.0, 0.0])], "resource_id string, query_vector array<double>")
+    e = spark.range(50).select(F.col("id").alias("signal_id"), (F.col("id") % 2).cast("string").alias("resource_id"), F.array(F.lit(1.0), F.col("id") / 50).alias("embedding"))
+    q = spark.createDataFrame([("0", [1.0, 0.0]), ("1", [1.0, 0.0])], "resource_id string, query_vector array<double>")
     out = cluster.retrieve(e, q, e.where("signal_id <> 0").select("signal_id"), k=3)
-    assert [r.signal_id for r in out.orderBy("rank").collect()] == [1, 2, 3]
+    assert [r.signal_id for r in out.orderBy("resource_id", "rank").collect()] == [2, 4, 6, 1, 3, 5]
     assert out._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") == 2
