@@ -66,9 +66,11 @@ def resolve(docs: DataFrame, key: str, text: str, aliases: DataFrame, embed: Cal
         for b in batches:
             texts = b.column(1).to_pylist()
             out: list[tuple] = [(None, 0.0, "unresolved")] * len(texts)
-            left = []
+            left, scores = [], {}
             for i, t in enumerate(texts):
-                if t and (best := shared.value.best(t)):
+                if t and t not in scores:
+                    scores[t] = shared.value.best(t)
+                if t and (best := scores[t]):
                     out[i] = (owners[best[0]], round(best[1] / 100, 4), "fuzzy")
                 elif t:
                     left.append(i)
@@ -86,7 +88,8 @@ def resolve(docs: DataFrame, key: str, text: str, aliases: DataFrame, embed: Cal
             columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.float64(), pa.string()), strict=True)] if out else [pa.array([], t) for t in (pa.string(), pa.float64(), pa.string())]
             yield pa.record_batch([b.column(0), *columns], [key, "producer_id", "confidence", "method"])
 
-    rest = open_.mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, {_RESOLVED}")
+    spread = open_.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), text)  # equal texts meet and are scored once; small tables too use all tasks
+    rest = spread.mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, {_RESOLVED}")
     return exact.unionByName(rest)
 
 

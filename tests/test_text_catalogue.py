@@ -119,3 +119,15 @@ def test_model_is_loaded_once_a_worker_and_called_by_batch(spark):
     near = {"w": "weather report"}
     assert {r.id: r.method for r in text.resolve(docs, "id", "t", aliases, load=broken, descriptions=near).collect()} == {1: "unresolved", 2: "exact_alias"}
     assert {r.id: (r.method, r.producer_id) for r in text.resolve(docs, "id", "t", aliases, text.hashed_embedding, near).collect()}[1] == ("embedding", "w")
+
+
+def test_names_that_begin_alike_are_not_all_scored(monkeypatch):
+    names = [f"Supplier#{i:09d}" for i in range(1, 5001)]
+    index, scored, ratio = fuzzy.Index(names, 88.0), [], fuzzy.partial_ratio
+    monkeypatch.setattr(fuzzy, "partial_ratio", lambda a, b: scored.append(a) or ratio(a, b))
+    for i in (1, 70, 1234, 4999):
+        scored.clear()
+        got = index.best(f"News from {names[i][:8]}~{names[i][9:]}")
+        assert got == (i, pytest.approx(100 * 17 / 18)) and len(scored) < 200  # all 5,000 before
+        assert index.best(f"News from {names[i][:13]}x{names[i][14:]} and more") is not None
+    assert index.best("Weather") is None
