@@ -11,8 +11,9 @@ neighbour's leaf is looked up in the visiting order, and the visits are widened
 (all leaves where nothing less does). A query that has met fewer than k other rows goes on visiting. The first leaves of each query
 give its k-th score so far, and the later ones return only what reaches it.
 
-Rows meet queries by leaf, page and block: a leaf of many rows is split into pages of about PAGE, its visits into blocks of about BLOCK,
-so no task holds a hot leaf. Of equal vectors only the k + 1 smallest ids can be among any query's k best; the others are folded away
+Rows meet queries by shelf, page and block. A shelf is some leaves beside each other, of `shelf_rows` rows or so; a query goes to it once,
+with the leaves that it visits there, not once for every leaf. A shelf of more rows is split into pages, its visitors into blocks of as
+many, so no task holds a hot leaf. Of equal vectors only the k + 1 smallest ids can be among any query's k best; the others are folded away
 before the index, by a window that Spark limits ahead of its shuffle.
 
 Defined results: vectors null, empty, zero, or with a null or non-finite component, and rows with a null id, take no part; vectors of
@@ -35,7 +36,8 @@ from millrace.llm.common import cut
 
 SAMPLE, SAMPLE_CELLS = 1 << 17, 1 << 24  # rows, and entries, of the sample that the tree is fitted on
 MAX_LEAVES = 1 << 14
-PAGE, BLOCK = 8192, 4096
+SHELVES, SHELF_CELLS = 64, 1 << 20  # shelves wanted, and entries of a page or a block
+ASKED = 256  # queries whose visits are listed at once
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
@@ -163,39 +165,61 @@ def _leaves(tree, dims: int):
     return run
 
 
-def _visits(tree, dims: int, visits: int, held: np.ndarray, least: int):
-    """A row for each query and leaf that it visits, with the place of the visit."""
+def _visits(tree, dims: int, visits: int, near: int, held: np.ndarray, shelf: np.ndarray, least: int):
+    """A row for each query and shelf that it goes to: the leaves among its first `near` that are there, and the later ones."""
 
     def run(batches):
-        for b in batches:
-            orders = list(tree.value.orders(_matrix(b.column(2), dims), visits, held, least))
-            size = [len(o) for o in orders]
-            at = pa.array(np.repeat(np.arange(len(size)), size))
-            flat = [x for o in orders for x in o]
-            place = [i for n in size for i in range(n)]
-            yield pa.record_batch([*(c.take(at) for c in b.columns), pa.array(flat, pa.int32()), pa.array(place, pa.int32())], [*b.schema.names, "leaf", "place"])
+        for b in (b.slice(lo, ASKED) for b in batches for lo in range(0, b.num_rows, ASKED)):
+            orders = [np.array(o) for o in tree.value.orders(_matrix(b.column(2), dims), visits, held, least)]
+            of = np.repeat(np.arange(len(orders)), [len(o) for o in orders])
+            leaf = np.concatenate(orders)
+            late = np.concatenate([np.arange(len(o)) >= near for o in orders])
+            order = np.lexsort((shelf[leaf], of))
+            of, leaf, late = of[order], leaf[order], late[order]
+            new = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (shelf[leaf][1:] != shelf[leaf][:-1])))
+            part = lambda on: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.add.reduceat(on, new, dtype=np.int64))), pa.int32()), pa.array(leaf[on], pa.int32()))  # noqa: E731,B023
+            yield pa.record_batch([*(c.take(pa.array(of[new])) for c in b.columns), pa.array(shelf[leaf[new]], pa.int32()), part(~late), part(late)], [*b.schema.names, "shelf", "near", "far"])
 
     return run
 
 
 def _meet(k: int, dims: int):
-    """applyInArrow body: a page's rows and a block of its visitors."""
+    """applyInArrow body: a page's rows and a block of its visitors -> the k best that each visitor meets."""
 
     def run(rows: pa.Table, visitors: pa.Table) -> pa.Table:
         if not rows.num_rows or not visitors.num_rows:
             return _FOUND_SCHEMA.empty_table()
-        ids = rows["vec_id"].to_numpy()
-        x = _matrix(rows["v"], dims)
+        leaf = rows["leaf"].to_numpy()
+        order = np.argsort(leaf, kind="stable")
+        ids, x, leaf = rows["vec_id"].to_numpy()[order], _matrix(rows["v"], dims)[order], leaf[order]
         out = []
-        for part in visitors.to_batches(max_chunksize=512):
-            t = pa.Table.from_batches([part])
-            q, r, s = _best(_matrix(t["qv"], dims), t["qid"].to_numpy(), t["floor"].to_numpy(), ids, x, k)
-            out.append(pa.table([pa.array(t["qno"].to_numpy()[q]), pa.array(ids[r]), pa.array(s)], schema=_FOUND_SCHEMA))
+        for b in visitors.to_batches(max_chunksize=1024):
+            qv, qid, floor, goes = _matrix(b.column("qv"), dims), b.column("qid").to_numpy(), b.column("floor").to_numpy(), b.column("leaves")
+            who = np.repeat(np.arange(len(qid)), goes.value_lengths().to_numpy())
+            where = goes.flatten().to_numpy()
+            found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+            for one in np.unique(where):
+                lo, hi = np.searchsorted(leaf, [one, one + 1])
+                w = who[where == one]
+                if lo < hi:
+                    q, r, s = _best(qv[w], qid[w], floor[w], ids[lo:hi], x[lo:hi], k)
+                    found.append((w[q], r + lo, s))
+            q, r, s = (np.concatenate(c) for c in zip(*found, strict=True))
+            order = np.lexsort((ids[r], -s, q))
+            q, r, s = q[order], r[order], s[order]
+            first = np.arange(len(q)) - np.searchsorted(q, q) < k
+            out.append(pa.table([pa.array(b.column("qno").to_numpy()[q[first]]), pa.array(ids[r[first]]), pa.array(s[first])], schema=_FOUND_SCHEMA))
         return pa.concat_tables(out)
 
     return run
 
 
+def shelves(held: np.ndarray, rows: int) -> np.ndarray:
+    """The shelf of each leaf: leaves beside each other of about `rows` rows, numbered from 0."""
+    at = np.cumsum(held) - held
+    return np.unique(at // max(1, rows), return_inverse=True)[1]
+
+
 _FOUND = "qno long, vec_id long, score double"
 _FOUND_SCHEMA = pa.schema([("qno", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
@@ -231,8 +255,14 @@ def calibrate(data: DataFrame, asked: DataFrame, tree, dims: int, held: np.ndarr
     exact = data.mapInArrow(_probe(tree, qno, np.array([r.qid for r in few], np.int64), q, k, dims), "qno long, score double, leaf int")
     near = _first(exact, "qno", [F.desc("score"), "leaf"], k).select("qno", "leaf").collect()  # at most k rows a probe
     leaves = tree.value.leaves
-    order = {int(n): {leaf: i for i, leaf in enumerate(o)} for n, o in zip(qno, tree.value.orders(q, leaves, held, 0), strict=True)}
-    met = np.sort([order[r.qno][r.leaf] for r in near])
+    wanted: dict[int, list[int]] = {}
+    for r in near:
+        wanted.setdefault(r.qno, []).append(r.leaf)
+    met = []
+    for n, o in zip(qno.tolist(), tree.value.orders(q, leaves, held, 0), strict=True):
+        place = np.argsort(o)
+        met += place[wanted.get(n, [])].tolist()
+    met = np.sort(met)
     return leaves if not len(met) else int(met[min(len(met), int(np.ceil(recall * len(met)))) - 1]) + 1
 
 
@@ -256,26 +286,29 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = 0.
         held[r.leaf] = r["count"]
     asked = cut(whole.where(F.col("vec_id") % every == 0).select(F.monotonically_increasing_id().alias("qno"), F.col("vec_id").alias("qid"), F.col("v").alias("qv")))
     visits = calibrate(data, asked, tree, dims, held, k, recall, probes)
-    plan = cut(asked.mapInArrow(_visits(tree, dims, visits, held, k + 1), "qno long, qid long, qv array<double>, leaf int, place int"))
-
-    def met(rows_of_plan: DataFrame) -> DataFrame:
-        """What the visits find. Leaves of many rows or visits are dealt into pages and blocks, every page meeting every block."""
-        blocks = np.zeros(len(held), np.int64)
-        for r in rows_of_plan.groupBy("leaf").count().collect():  # at most MAX_LEAVES rows
-            blocks[r.leaf] = -(-r["count"] // BLOCK)
-        shape = spark.createDataFrame([(i, int(-(-held[i] // PAGE)), int(b)) for i, b in enumerate(blocks) if b and held[i]], "leaf int, pages int, blocks int")
-        shape = F.broadcast(shape)  # at most MAX_LEAVES rows
+    wide = max(1, min(SHELF_CELLS // dims, max(2048, total // SHELVES)))  # rows of a page, visitors of a block
+    shelf = shelves(held, wide)
+    size = np.bincount(shelf, held).astype(np.int64)
+    listed = _visits(tree, dims, visits, max(1, visits // 8), held, shelf, k + 1)
+    plan = cut(asked.mapInArrow(listed, "qno long, qid long, qv array<double>, shelf int, near array<int>, far array<int>"))
+    of = F.broadcast(spark.createDataFrame(list(enumerate(shelf.tolist())), "leaf int, shelf int"))  # at most MAX_LEAVES rows
+    placed = data.join(of, "leaf")
+
+    def met(visitors: DataFrame) -> DataFrame:
+        """What visitors(qno, qid, qv, floor, shelf, leaves) find; every page of a shelf meets every block of its visitors."""
+        shape = [(r.shelf, -(-int(size[r.shelf]) // wide), -(-r["count"] // wide)) for r in visitors.groupBy("shelf").count().collect() if size[r.shelf]]  # a row a shelf
+        shape = F.broadcast(spark.createDataFrame(shape, "shelf int, pages int, blocks int"))
         spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         deal = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-        left = data.join(shape, "leaf").select("vec_id", "v", "leaf", deal("vec_id", "pages").alias("page"), spread("blocks").alias("block"))
-        right = rows_of_plan.join(shape, "leaf").select("qno", "qid", "qv", "floor", "leaf", spread("pages").alias("page"), deal("qno", "blocks").alias("block"))
-        key = ("leaf", "page", "block")
+        left = placed.join(shape, "shelf").select("vec_id", "v", "leaf", "shelf", deal("vec_id", "pages").alias("page"), spread("blocks").alias("block"))
+        right = visitors.join(shape, "shelf").select("qno", "qid", "qv", "floor", "leaves", "shelf", spread("pages").alias("page"), deal("qno", "blocks").alias("block"))
+        key = ("shelf", "page", "block")
         return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_meet(k, dims), _FOUND)
 
-    near = max(1, visits // 8)
-    first = cut(met(plan.where(F.col("place") < near).withColumn("floor", F.lit(float("-inf")))))
-    floors = _first(first, "qno", [F.desc("score")], k).where(F.col("rank") == k).select("qno", F.col("score").alias("floor"))
-    later = plan.where(F.col("place") >= near).join(floors, "qno", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
-    found = first.union(met(later))
-    best = _first(found, "qno", [F.desc("score"), "vec_id"], k)
+    order = [F.desc("score"), "vec_id"]
+    visitors = lambda leaves: plan.where(F.size(leaves) > 0).select("qno", "qid", "qv", "shelf", F.col(leaves).alias("leaves"))
+    first = cut(_first(met(visitors("near").withColumn("floor", F.lit(float("-inf")))), "qno", order, k))
+    floors = first.where(F.col("rank") == k).select("qno", F.col("score").alias("floor"))
+    later = visitors("far").join(floors, "qno", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    best = _first(first.drop("rank").union(met(later)), "qno", order, k)
     return best.join(asked.select("qno", F.col("qid").alias("query_id")), "qno").select("query_id", "rank", "vec_id", "score")

@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 from fractions import Fraction
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -218,3 +219,29 @@ def test_few_neighbours(spark):
     got = sorted((r.query_id, r.rank, r.vec_id) for r in kmtree.nearest(vectors(spark, rows)).collect())
     assert got == [(0, 1, 3), (0, 2, 904), (0, 3, 20), (20, 1, 3), (20, 2, 904), (20, 3, 0)]
     assert not kmtree.nearest(vectors(spark, ODD[1:4])).count() and not kmtree.nearest(vectors(spark, [(0, [1.0])])).count() and not kmtree.nearest(vectors(spark, [(1, [1.0])])).count()
+
+
+def test_visits_are_listed_by_shelf_in_small_batches():
+    r = np.random.default_rng(4)
+    x = r.normal(size=(4000, 8))
+    tree = kmtree.Tree(x, 1.0, 20, 8, 1000)
+    held = np.bincount(tree.assign(x), minlength=tree.leaves)
+    shelf = kmtree.shelves(held, 500)
+    size = np.bincount(shelf, held)
+    assert tree.leaves > 150 and len(size) in range(6, 10) and size.max() <= 500 + held.max() and (np.diff(shelf) >= 0).all()
+    batch = pa.record_batch([pa.array(np.arange(2000)), pa.array(np.arange(2000)), pa.array(list(x[:2000]))], ["qno", "qid", "qv"])
+    got = list(kmtree._visits(SimpleNamespace(value=tree), 8, tree.leaves // 2, 10, held, shelf, 21)([batch]))
+    assert max(b.num_rows for b in got) <= kmtree.ASKED * len(size)  # a row a shelf; before, all queries times all leaves in one batch
+    rows = [q for b in got for q in b.to_pylist()]
+    assert all(set(shelf[q["near"] + q["far"]]) == {q["shelf"]} for q in rows)
+    orders = list(tree.orders(x[:2000], tree.leaves // 2, held, 21))
+    for n in (0, 777, 1999):
+        mine = [q for q in rows if q["qno"] == n]
+        assert sorted(i for q in mine for i in q["near"]) == sorted(orders[n][:10]) and sorted(i for q in mine for i in q["far"]) == sorted(orders[n][10:])
+
+
+def test_a_hot_shelf_is_dealt_in_pages_and_blocks(spark, monkeypatch):
+    rows = fixture(3000)
+    want = sorted(map(tuple, kmtree.nearest(vectors(spark, rows), leaf_rows=64, branch=4, recall=1.0).collect()))
+    monkeypatch.setattr(kmtree, "SHELF_CELLS", 16 * 40)
+    assert sorted(map(tuple, kmtree.nearest(vectors(spark, rows), leaf_rows=64, branch=4, recall=1.0).collect())) == want
