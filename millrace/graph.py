@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -99,6 +100,13 @@ def _thin_by_weight(batches):
         yield _edges(out(rows))
 
 
+def thinned(edges: pa.Table) -> pa.Table:
+    """The edges (a, b, w) of one task that may be in a minimum spanning forest of all, ties by (w, least end, greatest end)."""
+    a, b = edges["a"].to_numpy(), edges["b"].to_numpy()
+    t = pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), edges["w"]], ["a", "b", "w"])
+    return pa.Table.from_batches(list(_thin_by_weight(t.to_batches())), t.schema).cast(edges.schema)
+
+
 def _edges(rows: list) -> pa.RecordBatch:
     w, a, b = zip(*rows, strict=True)
     return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(w, pa.float64())], ["a", "b", "w"])

@@ -3,8 +3,10 @@
 Vectors are scaled to length 1 and dealt into cells by their nearest pivot (spherical k-means on a bounded sample). Angles obey the
 triangle inequality, so what is known of two cells alone bounds how near their vectors can be: the angle between their pivots less both
 radii, and for each of REFS reference pivots the gap between the two cells' ranges of angles to it. Pairs of cells whose bound lies
-beyond the question never meet. Cells are cut into pages of about PAGE rows; a pair of pages is one group of two tables and one matrix
-product. A vector that many rows share is a cell of many pages, never one task.
+beyond the question never meet. Cells are cut into pages of about PAGE rows, and a pair of pages is one matrix product. Pages of cells
+near each other make a tile, a pair of tiles is one group of two tables: a row is copied once for each tile that holds something it must
+meet, not once for each page. Tiles are a sixteenth of all rows, or `tile` entries if that is less. A vector that many rows share is a
+cell of many pages, never one task.
 
 Vectors null, empty, or with a null or non-finite component take no part; a zero vector stays zero, its cosine with any is 0; shorter
 vectors count as if they had zeros at their end.
@@ -18,10 +20,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from millrace.shared import cut
 
-CELLS, REFS, PAGE = 1024, 32, 2048
+CELLS, REFS, PAGE, TILE = 1024, 32, 2048, 1 << 20
 SAMPLE, SAMPLE_CELLS = 1 << 14, 1 << 22  # rows, and entries, of the sample that pivots come from
 _SLACK = 1e-7  # rounding never prunes
 
@@ -67,10 +71,30 @@ def _angles(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(x @ c.T, -1.0, 1.0))
 
 
+def _chain(c: np.ndarray) -> list[int]:
+    """All pivots, each followed by the nearest one that is left."""
+    out, left = [0], np.ones(len(c), bool)
+    left[0] = False
+    while len(out) < len(c):
+        out.append(int(np.where(left, c @ c[out[-1]], -np.inf).argmax()))
+        left[out[-1]] = False
+    return out
+
+
+def _units(t: pa.Table) -> list[tuple[int, pa.Table]]:
+    """A tile's pages in a fixed order, each with its cell."""
+    t = t.combine_chunks()
+    cell, page = t["cell"].to_numpy(), t["page"].to_numpy()
+    order = np.lexsort((page, cell))
+    t, cell, page = t.take(pa.array(order)).combine_chunks(), cell[order], page[order]
+    at = np.flatnonzero(np.append(True, (cell[1:] != cell[:-1]) | (page[1:] != page[:-1]))) if len(cell) else []
+    return [(int(cell[i]), t.slice(i, j - i)) for i, j in zip(at, [*at[1:], len(cell)], strict=True)] if len(cell) else []
+
+
 class Blocks:
-    """rows(id, v, cell, page, and the columns asked to be kept) in the shared folder, and what the driver knows of the cells."""
+    """rows(id, v, cell, page, tile, and the columns asked to be kept) in the shared folder, and what the driver knows of the cells."""
 
-    def __init__(self, rows: DataFrame, key: str, vector: str, keep: tuple[str, ...] = (), cells: int | None = None, page: int = PAGE):
+    def __init__(self, rows: DataFrame, key: str, vector: str, keep: tuple[str, ...] = (), cells: int | None = None, page: int = PAGE, tile: int = TILE):
         spark = rows.sparkSession
         self.spark, self.keep = spark, keep
         flat = rows.where(usable(vector)).select(F.col(key).alias("id"), F.transform(vector, lambda c: c.cast("double")).alias("v"), *keep)
@@ -112,8 +136,20 @@ class Blocks:
         for r in dealt.select("v", "cell").mapInArrow(ranges, "cell int, ref int, low double, high double, n long").groupBy("cell", "ref").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")).collect():  # at most CELLS * (REFS + 1) rows
             self.low[r.cell, r.ref], self.high[r.cell, r.ref], self.count[r.cell] = r.low, r.high, r.n
         self.pages = -(-self.count // page)
-        sizes = spark.createDataFrame([(i, int(p)) for i, p in enumerate(self.pages)], "cell int, pages int")
-        self.rows = dealt.join(F.broadcast(sizes), "cell").select(*names, "cell", F.pmod(F.xxhash64("id"), "pages").cast("int").alias("page"))  # at most CELLS rows
+        wide = max(page, min(tile // max(1, self.dims), self.total // 16))
+        units, self.tiles, held = [], [set()], 0.0
+        for c in _chain(self.pivots):
+            for p in range(int(self.pages[c])):
+                share = self.count[c] / self.pages[c]
+                if held and held + share > wide:
+                    self.tiles.append(set())
+                    held = 0.0
+                held += share
+                self.tiles[-1].add(c)
+                units.append((c, int(self.pages[c]), p, len(self.tiles) - 1))
+        of = F.broadcast(spark.createDataFrame([u[::2] + u[3:] for u in units], "cell int, page int, tile int"))  # a row a page
+        sizes = F.broadcast(spark.createDataFrame(sorted({u[:2] for u in units}), "cell int, pages int"))  # at most CELLS rows
+        self.rows = dealt.join(sizes, "cell").withColumn("page", F.pmod(F.xxhash64("id"), "pages").cast("int")).join(of, ["cell", "page"]).select(*names, "cell", "page", "tile")
 
     def bounds(self) -> np.ndarray:
         """For each pair of cells the smallest angle that two of their vectors can have, as far as is known."""
@@ -136,22 +172,34 @@ class Blocks:
         self.pruned = 1 - weight(i, j) / weight(a, b) if len(a) else 0.0
         return list(zip(i.tolist(), j.tolist(), strict=True))
 
-    def meet(self, pairs: list[tuple[int, int]], task: Callable, ddl: str, rows: DataFrame | None = None) -> DataFrame:
-        """task(x, y, same) -> Arrow table for every two pages of the pairs; `same` says that both are one page, met once."""
+    def meet(self, pairs: list[tuple[int, int]], task: Callable, ddl: str, rows: DataFrame | None = None, thin: Callable = lambda t: t) -> DataFrame:
+        """task(x, y, same) -> Arrow table for every two pages of the pairs; `same` says that both are one page, met once. What the pages
+        of two tiles give goes through `thin` together."""
         rows = self.rows if rows is None else rows
-        shape = F.broadcast(self.spark.createDataFrame([(i, j, int(self.pages[i]), int(self.pages[j])) for i, j in pairs], "i int, j int, pi int, pj int"))  # at most CELLS**2 / 2 rows
-        spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        once = "i < j or p <= q"
-        left = rows.join(shape, F.col("cell") == F.col("i")).select(*rows.columns, "i", "j", F.col("page").alias("p"), spread("pj").alias("q")).where(once)
-        right = rows.toDF(*rows.columns).join(shape.toDF(*shape.columns), F.col("cell") == F.col("j")).select(*rows.columns, "i", "j", spread("pi").alias("p"), F.col("page").alias("q")).where(once)
+        near = np.zeros((len(self.count),) * 2, bool)
+        for i, j in pairs:
+            near[i, j] = near[j, i] = True
+        holds = np.zeros((len(self.tiles), len(self.count)), np.float32)
+        for t, cells in enumerate(self.tiles):
+            holds[t, sorted(cells)] = 1
+        met = np.argwhere(np.triu(holds @ near @ holds.T > 0)).tolist()
+        self.copies = float(sum(1 + (s < t) for s, t in met)) / len(self.tiles)
+        shape = self.spark.createDataFrame([tuple(m) for m in met], "s int, t int")  # pairs of tiles
+        left = rows.join(F.broadcast(shape), F.col("tile") == F.col("s"))
+        right = rows.toDF(*rows.columns).join(F.broadcast(shape.where("s < t").toDF("s", "t")), F.col("tile") == F.col("t"))
         left, right = (x.toDF(*x.columns) for x in (left, right))  # own names for either side of the self-join
-        key = ("i", "j", "p", "q")
+        known, schema = self.spark.sparkContext.broadcast(near), to_arrow_schema(StructType.fromDDL(ddl))
 
         def run(x: pa.Table, y: pa.Table) -> pa.Table:
-            first = (x if x.num_rows else y).slice(0, 1).to_pylist()[0]
-            return task(x, y, first["i"] == first["j"] and first["p"] == first["q"])
+            if not x.num_rows:
+                return schema.empty_table()
+            own = x["s"][0].as_py() == x["t"][0].as_py()
+            mine = _units(x)
+            other = mine if own else _units(y)
+            out = [task(u, v, own and i == j) for i, (c, u) in enumerate(mine) for j, (d, v) in enumerate(other) if known.value[c, d] and (not own or i <= j)]
+            return thin(pa.concat_tables([schema.empty_table(), *(t.cast(schema) for t in out)]))
 
-        return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(run, ddl)
+        return left.groupBy("s", "t").cogroup(right.groupBy("s", "t")).applyInArrow(run, ddl)
 
 
 def similar_pairs(rows: DataFrame, key: str, vector: str, threshold: float, cells: int | None = None, page: int = PAGE) -> DataFrame:
@@ -170,5 +218,5 @@ def similar_pairs(rows: DataFrame, key: str, vector: str, threshold: float, cell
 
     out = blocks.meet(pairs, task, f"a {kind}, b {kind}, sim double").where(F.col("sim") >= threshold)
     out = out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim").where("a < b")
-    out.pruned = blocks.pruned
+    out.pruned, out.copies = blocks.pruned, blocks.copies
     return out

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace import graph
-from millrace.operators.blocks import Blocks, matrix, usable
+from millrace.operators.blocks import TILE, Blocks, matrix, usable
 from millrace.shared import cut
 
 NEAR = 1e-9
@@ -103,7 +103,7 @@ def spanning_tree(blocks: Blocks, rows: DataFrame) -> DataFrame:
         return pa.table([pa.array(ids[a], pa.int64()), pa.array(ids[b], pa.int64()), pa.array(w)], ["a", "b", "w"])
 
     ddl = "a long, b long, w double"
-    own = cut(blocks.meet([(i, i) for i, n in enumerate(blocks.count) if n], task, ddl, rows))
+    own = cut(blocks.meet([(i, i) for i, n in enumerate(blocks.count) if n], task, ddl, rows, graph.thinned))
     if len(blocks.count) == 1:
         return own if blocks.pages[0] == 1 else graph.spanning_forest(own)
     # One row of each cell, a tree over these, and the trees of the cells span all rows: no edge longer than their longest is needed.
@@ -113,7 +113,7 @@ def spanning_tree(blocks: Blocks, rows: DataFrame) -> DataFrame:
     most = np.maximum(np.sqrt(((v[a] - v[b]) ** 2).sum(1)), np.maximum(core[a], core[b])).max(initial=0)
     most = max(float(most), own.agg(F.max("w")).first()[0] or 0.0)
     later = [p for p in blocks.pairs(float(_angle(most))) if p[0] != p[1]]
-    return graph.spanning_forest(own.union(cut(blocks.meet(later, task, ddl, rows))) if later else own)
+    return graph.spanning_forest(own.union(cut(blocks.meet(later, task, ddl, rows, graph.thinned))) if later else own)
 
 
 STATE = "node long, size long, stay double, below double, cluster string, points array<long>"
@@ -287,7 +287,7 @@ def clusters(rows: DataFrame, key: str, vector: str, min_cluster_size: int = 2,
     part_taking = usable(vector) & F.exists(vector, lambda c: c != 0)
     ids = cut(rows.select(F.col(key).alias("id"), F.when(part_taking, F.transform(vector, lambda c: c.cast("double"))).alias("v")))
     folded = cut(ids.where("v is not null").groupBy("v").agg(F.count("*").alias("copies"), F.min("id").alias("first")).withColumn("uid", F.monotonically_increasing_id()))
-    blocks = Blocks(folded, "uid", "v", keep=("copies",), cells=cells, page=page)
+    blocks = Blocks(folded, "uid", "v", keep=("copies",), cells=cells, page=page, tile=2 * TILE)
     if blocks.total < 1:
         return ids.select("id", F.col("id").alias("component"))
     core = F.lit(0.0).alias("core")

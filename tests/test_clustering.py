@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,3 +166,24 @@ def test_retrieval_is_cut_before_it_is_shuffled(spark):
     out = cluster.retrieve(e, q, e.where("signal_id <> 0").select("signal_id"), k=3)
     assert [r.signal_id for r in out.orderBy("resource_id", "rank").collect()] == [2, 4, 6, 1, 3, 5]
     assert out._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") == 2
+
+
+def test_rows_are_copied_for_tiles_not_for_pages(spark):
+    x = clouds(900, 8, 900, 1.0, 6)  # nothing to prune
+    s = x @ x.T / np.linalg.norm(x, axis=1)[:, None] / np.linalg.norm(x, axis=1)[None, :]
+    got = blocks.similar_pairs(table(spark, x), "id", "e", 0.5, cells=60, page=5)
+    assert got.count() == int(np.triu(s >= 0.5, 1).sum())
+    assert got.copies <= 25  # about 200 pages: 200 copies of every row before
+    b = blocks.Blocks(table(spark, x), "id", "e", cells=60, page=5)
+    rows = b.rows.withColumn("core", F.lit(0.0))
+    edges = b.meet(b.pairs(np.pi), lambda x, y, same: pa.table([x["id"], x["id"], pa.array(np.ones(len(x)))], ["a", "b", "w"]), "a long, b long, w double", rows, lambda t: t.slice(0, 1))
+    assert edges.count() <= len(b.tiles) * (len(b.tiles) + 1) // 2 and b.pages.sum() > 150
+    tree = density.spanning_tree(b, rows).collect()
+    d = np.sqrt(np.maximum(2 - 2 * s, 0))
+    at, best, total = 0, d[0].copy(), 0.0
+    left = np.arange(900) > 0
+    while left.any():
+        at = int(np.where(left, best, np.inf).argmin())
+        total, best = total + best[at], np.minimum(best, d[at])
+        left[at] = False
+    assert len(tree) == 899 and sum(r.w for r in tree) == pytest.approx(total)
