@@ -96,7 +96,7 @@ class Blocks:
 
     def __init__(self, rows: DataFrame, key: str, vector: str, keep: tuple[str, ...] = (), cells: int | None = None, page: int = PAGE, tile: int = TILE):
         spark = rows.sparkSession
-        self.spark, self.keep = spark, keep
+        self.spark, self.keep, self.page, self.tile = spark, keep, page, tile
         flat = rows.where(usable(vector)).select(F.col(key).alias("id"), F.transform(vector, lambda c: c.cast("double")).alias("v"), *keep)
         self.total, self.dims = flat.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
         most = max(1, min(SAMPLE, SAMPLE_CELLS // self.dims))
@@ -162,19 +162,22 @@ class Blocks:
         return np.where(np.isfinite(gap), gap, 0) - _SLACK
 
     def pairs(self, reach: np.ndarray | float) -> list[tuple[int, int]]:
-        """Pairs i <= j of cells with rows whose vectors can be within `reach` of each other (one angle, or one for each cell)."""
-        r = np.broadcast_to(np.asarray(reach, float), self.count.shape)
+        """Pairs i <= j of cells with rows whose vectors can be within `reach` of each other (one angle, or one for each cell or pair)."""
+        r = np.asarray(reach, float)
+        if r.ndim < 2:
+            r = np.broadcast_to(r, self.count.shape)
+            r = np.maximum(r[:, None], r[None, :])
         full = self.count > 0
-        near = (self.bounds() <= np.maximum(r[:, None], r[None, :])) & full[:, None] & full[None, :]
+        near = (self.bounds() <= r) & full[:, None] & full[None, :]
         i, j = np.nonzero(np.triu(near))
         weight = lambda a, b: float((self.count[a] * self.count[b]).sum())
         a, b = np.nonzero(np.triu(full[:, None] & full[None, :]))
         self.pruned = 1 - weight(i, j) / weight(a, b) if len(a) else 0.0
         return list(zip(i.tolist(), j.tolist(), strict=True))
 
-    def meet(self, pairs: list[tuple[int, int]], task: Callable, ddl: str, rows: DataFrame | None = None, thin: Callable = lambda t: t) -> DataFrame:
-        """task(x, y, same) -> Arrow table for every two pages of the pairs; `same` says that both are one page, met once. What the pages
-        of two tiles give goes through `thin` together."""
+    def meet(self, pairs: list[tuple[int, int]], task: Callable, ddl: str, rows: DataFrame | None = None, thin: Callable = lambda t: t, ready: Callable = lambda t: t) -> DataFrame:
+        """task(x, y, same) -> Arrow table for every two pages of the pairs; `same` says that both are one page, met once. `ready` turns a
+        page's table into what the task takes, once. What the pages of two tiles give goes through `thin` together."""
         rows = self.rows if rows is None else rows
         near = np.zeros((len(self.count),) * 2, bool)
         for i, j in pairs:
@@ -194,8 +197,8 @@ class Blocks:
             if not x.num_rows:
                 return schema.empty_table()
             own = x["s"][0].as_py() == x["t"][0].as_py()
-            mine = _units(x)
-            other = mine if own else _units(y)
+            mine = [(c, ready(u)) for c, u in _units(x)]
+            other = mine if own else [(c, ready(u)) for c, u in _units(y)]
             out = [task(u, v, own and i == j) for i, (c, u) in enumerate(mine) for j, (d, v) in enumerate(other) if known.value[c, d] and (not own or i <= j)]
             return thin(pa.concat_tables([schema.empty_table(), *(t.cast(schema) for t in out)]))
 

@@ -23,11 +23,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace import graph
-from millrace.operators.blocks import TILE, Blocks, matrix, usable
-from millrace.shared import cut
+from millrace.operators.blocks import SAMPLE_CELLS, TILE, Blocks, matrix, usable
+from millrace.shared import cut, drop
 
 NEAR = 1e-9
 PART = 100_000
+FEW = 4096  # rows whose tree is found without landmarks
+LANDMARKS = 1 << 16
+DENSE = 16  # edges for each row of two pages
 
 
 def _distances(u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -91,16 +94,138 @@ def _tree(v: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def spanning_tree(blocks: Blocks, rows: DataFrame) -> DataFrame:
-    """(a, b, w) of the minimum spanning tree of rows(id, v, core, cell, page) under mutual reachability."""
+def _lengths(u: np.ndarray, v: np.ndarray, cu: np.ndarray, cv: np.ndarray) -> np.ndarray:
+    """Mutual reachability, row by row; the same number whenever the same two rows meet."""
+    return np.maximum(np.maximum(np.sqrt(((u - v) ** 2).sum(1)), np.maximum(cu, cv)), NEAR)
+
+
+def _edge_table(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> pa.Table:
+    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(w, pa.float64())], ["a", "b", "w"])
+
+
+class Order:
+    """The points of a tree in an order in which every component, whatever the length it is cut at, is a range. The longest edge on the way
+    between two points is then the longest gap between their places."""
+
+    def __init__(self, n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray):
+        sets, after, last, gap = graph.Union(), [-1] * n, list(range(n)), [0.0] * n  # first of a range is its name in `first`
+        first = list(range(n))
+        for i in np.argsort(w, kind="stable").tolist():
+            x, y = sets.find(int(a[i])), sets.find(int(b[i]))
+            sets.join(x, y)
+            after[last[x]], gap[last[x]] = first[y], float(w[i])
+            root = min(x, y)
+            first[root], last[root] = first[x], last[y]
+        at, self.place, self.gaps = first[sets.find(0)], np.zeros(n, np.int64), [np.zeros(n)]
+        for i in range(n):
+            self.place[at], self.gaps[0][i] = i, gap[at]
+            at = after[at]
+        while (step := 1 << len(self.gaps)) < n:  # longest of 2, 4, 8, ... gaps from each place on
+            was = self.gaps[-1]
+            self.gaps.append(np.maximum(was, np.append(was[step // 2:], np.zeros(step // 2))))
+        self.gaps = np.stack(self.gaps)
+
+    def longest(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """The longest edge on the way between the points at these places, 0 from a point to itself."""
+        low, n = np.minimum(i, j), np.abs(i - j)
+        k = np.frexp(np.maximum(n, 1))[1] - 1
+        return np.where(n > 0, np.maximum(self.gaps[k, low], self.gaps[k, np.maximum(low, low + n - (1 << k))]), 0.0)
+
+
+class Page:
+    """A page's rows as arrays: place, that of the nearest landmark; away, the way to it; hub, the place that most rows reach by short edges."""
+
+    def __init__(self, t: pa.Table, dims: int, order: Order):
+        self.ids, self.v, self.core = t["id"].to_numpy(), matrix(t["v"], dims), t["core"].to_numpy()
+        self.place, self.away = t["place"].to_numpy(), t["away"].to_numpy()
+        self.near = self.v.astype(np.float32)
+        some = np.unique(np.sort(self.place)[np.linspace(0, len(self.place) - 1, 32).astype(int)])
+        self.hub = some[order.longest(some[:, None], self.place[None, :]).mean(1).argmin()]
+
+
+def _shorter(x: Page, y: Page, same: bool, order: Order, slack: float) -> pa.Table:
+    """Edges between two pages that are shorter than the way between their ends over landmarks; where these are many, their tree."""
+    ways = [[np.maximum(p.away, order.longest(p.place, hub)) for p in (x, y)] for hub in {int(x.hub), int(y.hub)}]
+    wx, wy = min(ways, key=lambda w: w[0].sum() + w[1].sum())  # the way to the hub and on is as long as the longer part at most
+    cosine = lambda w: 1 - w * w / 2 - slack
+    s = x.near @ y.near.T
+    lx, ly = cosine(wx).astype(np.float32), cosine(wy).astype(np.float32)
+    i, j = np.flatnonzero(s.max(1) >= lx), np.flatnonzero(s.max(0) >= ly)
+    part, rest = s[i], s[:, j]
+    p, q = np.nonzero(part >= lx[i][:, None])
+    o, r = np.nonzero((rest >= ly[j]) & (rest < lx[:, None]))
+    i, j = np.concatenate([i[p], o]), np.concatenate([q, j[r]])
+    if same:
+        i, j = i[i < j], j[i < j]
+    way = np.maximum(np.maximum(x.away[i], y.away[j]), order.longest(x.place[i], y.place[j]))
+    near = s[i, j] >= cosine(way)
+    i, j, way = i[near], j[near], way[near]
+    if len(i) > DENSE * (len(s) + s.shape[1]):
+        v, core, ids = (x.v, x.core, x.ids) if same else (np.concatenate(c) for c in ((x.v, y.v), (x.core, y.core), (x.ids, y.ids)))
+        a, b = _tree(v, core)
+        return _edge_table(ids[a], ids[b], _lengths(v[a], v[b], core[a], core[b]))
+    w = _lengths(x.v[i], y.v[j], x.core[i], y.core[j])
+    i, j, w = i[w < way], j[w < way], w[w < way]
+    return _edge_table(x.ids[i], y.ids[j], w)
+
+
+def _slack(dims: int) -> float:
+    """What cosines in single precision can be off by, rounded up."""
+    return (dims + 8) * 2.0 ** -23
+
+
+def spanning_tree(blocks: Blocks, rows: DataFrame, few: int = FEW) -> DataFrame:
+    """(a, b, w) of the minimum spanning tree of rows(id, v, core, cell, page, tile) under mutual reachability."""
+    if blocks.total <= few:
+        return _tree_of_pages(blocks, rows)
+    spark, dims = blocks.spark, blocks.dims
+    marks = cut(rows.select("id", "v", "core").orderBy(F.xxhash64("id"), "id").limit(max(2, min(LANDMARKS, SAMPLE_CELLS // dims, blocks.total // 16))))
+    t = marks.toArrow()
+    ids, v, core = t["id"].to_numpy(), matrix(t["v"], dims), t["core"].to_numpy()
+    if len(ids) <= few:
+        a, b = _tree(v, core)
+    else:
+        inner = Blocks(marks, "id", "v", keep=("core",), page=blocks.page, tile=blocks.tile)
+        e = spanning_tree(inner, inner.rows, few).toArrow()  # an edge a landmark
+        by = np.argsort(ids)
+        a, b = (by[np.searchsorted(ids, e[c].to_numpy(), sorter=by)] for c in ("a", "b"))
+    w = _lengths(v[a], v[b], core[a], core[b])
+    order = Order(len(ids), a, b, w)
+    drop(marks)
+    known = spark.sparkContext.broadcast((ids, v, v.astype(np.float32), core, order.place))
+    names = rows.columns
+
+    def attach(batches):
+        ids, v, single, core, place = known.value
+        least = core.any()
+        for batch in batches:
+            x, own = matrix(batch.column(names.index("v")), dims), batch.column(names.index("core")).to_numpy()
+            at = np.zeros(len(x), np.int64)
+            for k in range(0, len(x), 256):
+                s = x[k:k + 256].astype(np.float32) @ single.T
+                at[k:k + 256] = np.maximum(np.maximum(2 - 2 * s, 0), core.astype(np.float32) ** 2).argmin(1) if least else s.argmax(1)
+            yield pa.record_batch([*batch.columns, pa.array(place[at]), pa.array(_lengths(x, v[at], own, core[at])), pa.array(ids[at])], [*names, "place", "away", "mark"])
+
+    types = dict(rows.dtypes)
+    placed = cut(rows.mapInArrow(attach, ", ".join(f"`{c}` {types[c]}" for c in names) + ", place long, away double, mark long"))
+    low, high, away = np.zeros(len(blocks.count), np.int64), np.zeros(len(blocks.count), np.int64), np.zeros(len(blocks.count))
+    for r in placed.groupBy("cell").agg(F.min("place").alias("low"), F.max("place").alias("high"), F.max("away").alias("away")).collect():  # a row a cell
+        low[r.cell], high[r.cell], away[r.cell] = r.low, r.high, r.away
+    ways = np.maximum(np.maximum(away[:, None], away[None, :]), order.longest(np.minimum(low[:, None], low[None, :]), np.maximum(high[:, None], high[None, :])))
+    ordered, slack, ddl = spark.sparkContext.broadcast(order), _slack(dims), "a long, b long, w double"
+    found = cut(blocks.meet(blocks.pairs(_angle(ways)), lambda x, y, same: _shorter(x, y, same, ordered.value, slack), ddl, placed, graph.thinned, lambda t: Page(t, dims, ordered.value)))
+    tree = spark.createDataFrame(_edge_table(ids[a], ids[b], w), ddl)
+    return graph.spanning_forest(found.union(placed.select("id", "mark", "away")).union(tree))
+
+
+def _tree_of_pages(blocks: Blocks, rows: DataFrame) -> DataFrame:
     dims = blocks.dims
 
     def task(x: pa.Table, y: pa.Table, same: bool) -> pa.Table:
         t = x if same else pa.concat_tables([x, y])
         v, core, ids = matrix(t["v"], dims), t["core"].to_numpy(), t["id"].to_numpy()
         a, b = _tree(v, core)
-        w = np.maximum(np.maximum(np.sqrt(((v[a] - v[b]) ** 2).sum(1)), np.maximum(core[a], core[b])), NEAR)
-        return pa.table([pa.array(ids[a], pa.int64()), pa.array(ids[b], pa.int64()), pa.array(w)], ["a", "b", "w"])
+        return _edge_table(ids[a], ids[b], _lengths(v[a], v[b], core[a], core[b]))
 
     ddl = "a long, b long, w double"
     own = cut(blocks.meet([(i, i) for i, n in enumerate(blocks.count) if n], task, ddl, rows, graph.thinned))
@@ -281,7 +406,7 @@ def selected(clusters: DataFrame, most: int = 64) -> DataFrame:
     raise RuntimeError("clusters nest too deep")
 
 
-def clusters(rows: DataFrame, key: str, vector: str, min_cluster_size: int = 2, min_samples: int = 1, page: int = 1024, cells: int | None = None, part: int = PART) -> DataFrame:
+def clusters(rows: DataFrame, key: str, vector: str, min_cluster_size: int = 2, min_samples: int = 1, page: int = 1024, cells: int | None = None, part: int = PART, few: int = FEW) -> DataFrame:
     """(id, component): the smallest key of the density cluster that a row is in; noise, and rows whose vector takes no part (null, empty,
     zero, or with a null or non-finite component), are their own component. Labels don't depend on the partitioning."""
     part_taking = usable(vector) & F.exists(vector, lambda c: c != 0)
@@ -294,7 +419,7 @@ def clusters(rows: DataFrame, key: str, vector: str, min_cluster_size: int = 2,
     pages = blocks.rows.withColumn("core", core)
     if min_samples > 1:
         pages = cut(blocks.rows.join(core_distances(blocks, min_samples).withColumnRenamed("id", "i"), F.col("id") == F.col("i"), "left").select(*blocks.rows.columns, F.coalesce("core", F.lit(2.0)).alias("core")))
-    tree = spanning_tree(blocks, pages)
+    tree = spanning_tree(blocks, pages, few)
     found, members = condense(folded.select(F.col("uid").alias("id"), "copies"), tree, max(2, min_cluster_size), part)
     label = members.join(selected(found), "cluster").where("top is not null").select(F.col("id").alias("uid"), "top")
     named = ids.where("v is not null").join(folded.select("v", "uid"), "v").join(label, "uid", "left").select("id", "top")

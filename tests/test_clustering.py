@@ -187,3 +187,38 @@ def test_rows_are_copied_for_tiles_not_for_pages(spark):
         total, best = total + best[at], np.minimum(best, d[at])
         left[at] = False
     assert len(tree) == 899 and sum(r.w for r in tree) == pytest.approx(total)
+
+
+@pytest.mark.parametrize(("n", "noise", "k", "few"), [(500, 0.08, 1, 40), (500, 0.002, 1, 8), (300, 0.08, 4, 40), (300, 1e-5, 1, 40)])
+def test_density_over_landmarks(spark, n, noise, k, few):
+    x = np.concatenate([clouds(n - 60, 6, 9, noise, n), clouds(60, 6, 60, 1.0, n + 1)])
+    got = dict(density.clusters(table(spark, x), "id", "e", 2, k, page=32, cells=9, few=few).collect())
+    want = brute_density(x, 2, k)
+    assert [got[i] for i in range(n)] == want and 1 < len(set(want)) < n
+
+
+def test_pages_meet_by_products_not_point_by_point(spark, monkeypatch):
+    """Two pages give the edges shorter than the way over landmarks, found without a tree of the pages."""
+    x = clouds(440, 6, 6, 0.3, 12)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    marks, core = x[:40], np.zeros(440)
+    a, b = density._tree(marks, core[:40])
+    order = density.Order(40, a, b, density._lengths(marks[a], marks[b], core[a], core[b]))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    level = d[:40, :40].copy()  # longest edge on the shortest such way between two landmarks
+    for m in range(40):
+        level = np.minimum(level, np.maximum(level[:, [m]], level[[m]]))
+    i, j = np.meshgrid(range(40), range(40))
+    assert np.allclose(order.longest(order.place[i], order.place[j]), level)
+    at = d[:, :40].argmin(1)
+    away = d[np.arange(440), at]
+    t = pa.table({"id": np.arange(440), "v": blocks.lists(x), "core": core, "place": order.place[at], "away": away})
+    monkeypatch.setattr(density, "_tree", None)
+    p, q = (density.Page(u, 6, order) for u in (t.slice(0, 200), t.slice(200)))
+    way = np.maximum(np.maximum(away[:, None], away[None, :]), level[at][:, at])
+    for u, v, same, area in ((p, q, False, np.s_[:200, 200:]), (p, p, True, np.s_[:200, :200])):
+        e = density._shorter(u, v, same, order, density._slack(6))
+        short = (d < way - 1e-12)[area]
+        first, second = np.nonzero(np.triu(short, 1) if same else short)
+        found = set(zip(e["a"].to_pylist(), e["b"].to_pylist(), strict=True))
+        assert found == set(zip(first.tolist(), (second if same else second + 200).tolist(), strict=True)) and 0 < len(found) < 6000
