@@ -25,7 +25,7 @@ from pyspark.sql.types import StructType
 
 from millrace.shared import cut
 
-CELLS, REFS, PAGE, TILE = 1024, 32, 2048, 1 << 20
+CELLS, REFS, PAGE, TILE, HELD = 1024, 32, 2048, 1 << 20, 1 << 20
 SAMPLE, SAMPLE_CELLS = 1 << 14, 1 << 22  # rows, and entries, of the sample that pivots come from
 _SLACK = 1e-7  # rounding never prunes
 
@@ -175,9 +175,10 @@ class Blocks:
         self.pruned = 1 - weight(i, j) / weight(a, b) if len(a) else 0.0
         return list(zip(i.tolist(), j.tolist(), strict=True))
 
-    def meet(self, pairs: list[tuple[int, int]], task: Callable, ddl: str, rows: DataFrame | None = None, thin: Callable = lambda t: t, ready: Callable = lambda t: t) -> DataFrame:
+    def meet(self, pairs: list[tuple[int, int]], task: Callable, ddl: str, rows: DataFrame | None = None, thin: Callable | None = None, ready: Callable = lambda t: t) -> DataFrame:
         """task(x, y, same) -> Arrow table for every two pages of the pairs; `same` says that both are one page, met once. `ready` turns a
-        page's table into what the task takes, once. What the pages of two tiles give goes through `thin` together."""
+        page's table into what the task takes, once. What the pages of two tiles give goes through `thin`
+        together, whenever it has grown by HELD rows."""
         rows = self.rows if rows is None else rows
         near = np.zeros((len(self.count),) * 2, bool)
         for i, j in pairs:
@@ -199,8 +200,17 @@ class Blocks:
             own = x["s"][0].as_py() == x["t"][0].as_py()
             mine = [(c, ready(u)) for c, u in _units(x)]
             other = mine if own else [(c, ready(u)) for c, u in _units(y)]
-            out = [task(u, v, own and i == j) for i, (c, u) in enumerate(mine) for j, (d, v) in enumerate(other) if known.value[c, d] and (not own or i <= j)]
-            return thin(pa.concat_tables([schema.empty_table(), *(t.cast(schema) for t in out)]))
+            out, held, most = [schema.empty_table()], 0, HELD
+            for i, (c, u) in enumerate(mine):
+                for j, (d, v) in enumerate(other):
+                    if known.value[c, d] and (not own or i <= j):
+                        out.append(task(u, v, own and i == j).cast(schema))
+                        held += out[-1].num_rows
+                        if thin is not None and held > most:
+                            out = [thin(pa.concat_tables(out))]
+                            held = out[0].num_rows
+                            most = max(HELD, 2 * held)
+            return pa.concat_tables(out) if thin is None else thin(pa.concat_tables(out))
 
         return left.groupBy("s", "t").cogroup(right.groupBy("s", "t")).applyInArrow(run, ddl)
 

@@ -143,6 +143,13 @@ class Page:
         self.hub = some[order.longest(some[:, None], self.place[None, :]).mean(1).argmin()]
 
 
+def _true(flags: np.ndarray) -> np.ndarray:
+    """Places of the few that are true, eight looked at together."""
+    whole = len(flags) // 8 * 8
+    at = (np.flatnonzero(flags[:whole].view(np.uint64))[:, None] * 8 + np.arange(8)).ravel()
+    return np.concatenate([at[flags[at]], np.flatnonzero(flags[whole:]) + whole])
+
+
 def _shorter(x: Page, y: Page, same: bool, order: Order, slack: float) -> pa.Table:
     """Edges between two pages that are shorter than the way between their ends over landmarks; where these are many, their tree."""
     ways = [[np.maximum(p.away, order.longest(p.place, hub)) for p in (x, y)] for hub in {int(x.hub), int(y.hub)}]
@@ -150,11 +157,9 @@ def _shorter(x: Page, y: Page, same: bool, order: Order, slack: float) -> pa.Tab
     cosine = lambda w: 1 - w * w / 2 - slack
     s = x.near @ y.near.T
     lx, ly = cosine(wx).astype(np.float32), cosine(wy).astype(np.float32)
-    i, j = np.flatnonzero(s.max(1) >= lx), np.flatnonzero(s.max(0) >= ly)
-    part, rest = s[i], s[:, j]
-    p, q = np.nonzero(part >= lx[i][:, None])
-    o, r = np.nonzero((rest >= ly[j]) & (rest < lx[:, None]))
-    i, j = np.concatenate([i[p], o]), np.concatenate([q, j[r]])
+    some = s >= lx[:, None]
+    some |= s >= ly
+    i, j = np.divmod(_true(some.ravel()), s.shape[1])
     if same:
         i, j = i[i < j], j[i < j]
     way = np.maximum(np.maximum(x.away[i], y.away[j]), order.longest(x.place[i], y.place[j]))
@@ -344,7 +349,7 @@ def condense(points: DataFrame, edges: DataFrame, least: int, part: int = PART)
         share = min(1.0, part / left)
         while True:
             level = edges if share == 1.0 else edges.where(F.col("w") <= edges.agg(F.percentile_approx("w", share, 10_000)).first()[0])
-            of = cut(graph.connected_components(level.select("a", "b")))
+            of = cut(graph.connected_components(level.select("a", "b"), alone=graph.HELD // 2))
             most = level.join(of, F.col("a") == F.col("id")).groupBy("component").count().agg(F.max("count")).first()[0]
             if most <= part or share <= 1e-4:
                 break
@@ -352,7 +357,7 @@ def condense(points: DataFrame, edges: DataFrame, least: int, part: int = PART)
         if most > part:  # as few lengths as there can be; a component of more edges than `part` is still one task
             shortest = edges.agg(F.min("w")).first()[0]
             level = edges.where(F.col("w") == shortest)
-            of = cut(graph.connected_components(level.select("a", "b")))
+            of = cut(graph.connected_components(level.select("a", "b"), alone=graph.HELD // 2))
         known = of.toDF("node", "component")
         nodes = state.join(known, "node")
         deal = F.pmod(F.xxhash64("component"), F.lit(-(-4 * level.count() // part))).alias("deal")  # whole components, many to a task

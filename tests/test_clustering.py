@@ -222,3 +222,19 @@ def test_pages_meet_by_products_not_point_by_point(spark, monkeypatch):
         first, second = np.nonzero(np.triu(short, 1) if same else short)
         found = set(zip(e["a"].to_pylist(), e["b"].to_pylist(), strict=True))
         assert found == set(zip(first.tolist(), (second if same else second + 200).tolist(), strict=True)) and 0 < len(found) < 6000
+
+
+def test_forest_by_rounds_and_by_one_task(spark):
+    r = np.random.default_rng(5)
+    e = [(int(a), int(b), float(w)) for a, b, w in zip(r.integers(0, 90, 600), r.integers(0, 90, 600), r.integers(1, 30, 600), strict=True) if a % 3 == b % 3]
+    sets, best = graph.Union(), []
+    for w, a, b in sorted({(w, min(a, b), max(a, b)) for a, b, w in e}):
+        if sets.join(a, b):
+            best.append((a, b, w))
+    rows = spark.createDataFrame(e, "a long, b long, w double").repartition(6)
+    for alone in (0, 30, graph.HELD):
+        assert sorted(map(tuple, graph.spanning_forest(rows, alone=alone).collect())) == sorted(best)
+    of = [sorted(map(tuple, graph.connected_components(rows.select("a", "b"), alone=n).collect())) for n in (0, 1000)]
+    assert of[0] == of[1] and {c for _, c in of[0]} == {0, 1, 2}
+    a, b, w = (np.array(c) for c in zip(*((min(a, b), max(a, b), w) for a, b, w in e), strict=True))
+    assert sorted(tuple(r.values()) for r in graph.thinned(pa.table([a, b, w], ["a", "b", "w"])).to_pylist()) == sorted(best)
